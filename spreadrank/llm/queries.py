@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadrank.llm.common import lower_ascii, new_path, one_row_per_doc
+from spreadrank.llm.jaccard_join import jaccard_classes
 from spreadrank.llm.line_dedup import dedup_lines
 from spreadrank.llm.quality_rules import quality_rules
 from spreadrank.llm.sharding import ShardStore
@@ -86,5 +87,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 8) -> DataFra
 
 OP6 = "select doc_id, source, strlen(text)::bigint n_bytes, sha256(text) text_sha256 from documents"
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLES = {"op1_quality_rules": OP1, "op2_warc_index_merge": OP2, "op5_line_dedup": OP5, "op6_sharding": OP6}
