@@ -10,6 +10,7 @@ from spreadrank.llm.jaccard_join import jaccard_classes
 from spreadrank.llm.line_dedup import dedup_lines
 from spreadrank.llm.quality_rules import quality_rules
 from spreadrank.llm.sharding import ShardStore
+from spreadrank.llm.suffix_repeats import remove_repeats
 from spreadrank.llm.warc import merge_runs, read_warc, write_warc
 
 
@@ -87,9 +88,15 @@ def op6_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 8) -> DataFra
 
 OP6 = "select doc_id, source, strlen(text)::bigint n_bytes, sha256(text) text_sha256 from documents"
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
+    return df.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLES = {"op1_quality_rules": OP1, "op2_warc_index_merge": OP2, "op5_line_dedup": OP5, "op6_sharding": OP6}
