@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadrank.llm.common import lower_ascii, new_path, one_row_per_doc
+from spreadrank.llm.decontaminate import find_leaks
 from spreadrank.llm.jaccard_join import jaccard_classes
 from spreadrank.llm.line_dedup import dedup_lines
+from spreadrank.llm.pii import replace_pii
 from spreadrank.llm.quality_rules import quality_rules
 from spreadrank.llm.sharding import ShardStore
 from spreadrank.llm.suffix_repeats import remove_repeats
@@ -55,6 +57,11 @@ select page_id, b::bigint payload_bytes, d payload_digest, case when b >= 1000 a
 """
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "items", F.round("coverage", 9).alias("coverage"), (F.size("items") > 0).alias("contaminated"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("n_chars_left"), sha256("text").alias("kept_sha256"))
@@ -94,9 +101,14 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates of documents")
+    return df.select("doc_id", "n_entities", "entity_types", "text")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLES = {"op1_quality_rules": OP1, "op2_warc_index_merge": OP2, "op5_line_dedup": OP5, "op6_sharding": OP6}
