@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spreadrank.llm.common import lower_ascii, new_path, one_row_per_doc
 from spreadrank.llm.decontaminate import find_leaks
 from spreadrank.llm.jaccard_join import jaccard_classes
+from spreadrank.llm.kneser_ney import classify
 from spreadrank.llm.line_dedup import dedup_lines
 from spreadrank.llm.pii import replace_pii
 from spreadrank.llm.quality_rules import quality_rules
@@ -95,6 +96,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 8) -> DataFra
 
 OP6 = "select doc_id, source, strlen(text)::bigint n_bytes, sha256(text) text_sha256 from documents"
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return df.select("doc_id", "lang", "n_scored", F.round("log_ppl", 6).alias("log_ppl"), F.round("threshold", 6).alias("threshold"), "kept")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -110,5 +116,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_kneser_ney_quality": op7_kneser_ney_quality, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLES = {"op1_quality_rules": OP1, "op2_warc_index_merge": OP2, "op5_line_dedup": OP5, "op6_sharding": OP6}
