@@ -12,6 +12,7 @@ from spreadrank.llm.kneser_ney import classify
 from spreadrank.llm.line_dedup import dedup_lines
 from spreadrank.llm.pii import replace_pii
 from spreadrank.llm.quality_rules import quality_rules
+from spreadrank.llm.sentencepiece_lattice import encoding_digest, load_model
 from spreadrank.llm.sharding import ShardStore
 from spreadrank.llm.suffix_repeats import remove_repeats
 from spreadrank.llm.warc import merge_runs, read_warc, write_warc
@@ -58,6 +59,14 @@ select page_id, b::bigint payload_bytes, d payload_digest, case when b >= 1000 a
 """
 
 
+#: The vocabulary file of op3; a parameter of the query.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
+    return encoding_digest(table(spark, sf_dir, "documents"), load_model(model_file))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "items", F.round("coverage", 9).alias("coverage"), (F.size("items") > 0).alias("contaminated"))
@@ -116,5 +125,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_kneser_ney_quality": op7_kneser_ney_quality, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op3_sentencepiece": op3_sentencepiece, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_kneser_ney_quality": op7_kneser_ney_quality, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLES = {"op1_quality_rules": OP1, "op2_warc_index_merge": OP2, "op5_line_dedup": OP5, "op6_sharding": OP6}
