@@ -125,5 +125,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op3_sentencepiece": op3_sentencepiece, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_kneser_ney_quality": op7_kneser_ney_quality, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # it imports this module
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op3_sentencepiece": op3_sentencepiece, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_kneser_ney_quality": op7_kneser_ney_quality, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
 ORACLES = {"op1_quality_rules": OP1, "op2_warc_index_merge": OP2, "op5_line_dedup": OP5, "op6_sharding": OP6}
