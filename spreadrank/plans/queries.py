@@ -473,7 +473,7 @@ def progressive_bernstein(spark, sf):
 
 @query
 def progressive_mcera(spark, sf):
-    return _progress(spark, P.progressive_mcera(*both(spark, sf), 0.2, 0.1, diameter_sources=0, trials=10))
+    return _progress(spark, P.progressive_mcera(*both(spark, sf), 0.35, 0.1, diameter_sources=0, trials=10))
 
 
 @query
