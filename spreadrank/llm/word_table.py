@@ -19,7 +19,7 @@ HOT = 200_000
 def hot_count(table: DataFrame, n: str = "n", hot: int = HOT) -> int:
     """The least power of two that at most ``hot`` words of the table reach with their count."""
     sizes = table.groupBy(F.floor(F.log2(n)).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("k"))
-    total, least = 0, 63
+    total, least = 0, 62
     for e, k in sorted(((r["e"], r["k"]) for r in sizes.collect()), reverse=True):  # 64 rows at most
         total += k
         if total > hot:
