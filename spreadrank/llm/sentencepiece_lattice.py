@@ -4,7 +4,7 @@
    each run of ``▁`` and around new lines. No piece of the model lies across such a cut (checked when it is loaded), so words
    are encoded on their own, and each different word once.
 2. Lattice: the substrings of a word, up to the longest piece, are exploded and equi-joined to the piece table; what matches
-   are edges (start, length, rank, id), which are grouped by word.
+   are edges (rank, start, length, id), packed into a number each and grouped by word.
 3. A fold (Spark's ``aggregate``) over the edges takes the word's path. For unigram models the path is the best sum of scores
    (Viterbi). For BPE models that path is not what the encoder gives, so the fold replays its merges: of the edges that
    span exactly two symbols, the best ranked, leftmost one is merged, until none is left. Borders between symbols are bits
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import drop_tables, materialize, one_row_per_doc, release
+from spreadrank.llm.common import bound, drop_tables, materialize, one_row_per_doc, release
 from spreadrank.llm.word_table import per_document
 
 SPACE = "▁"
@@ -63,6 +63,8 @@ def load_model(path: str, bpe: bool = True) -> Model:
     pieces = [(sp.id_to_piece(i), order[sp.get_score(i)], sp.get_score(i), i) for i in plain]
     if any("\n" in p or SPACE in p.lstrip(SPACE) for p, *_ in pieces):
         raise ValueError("this model has pieces across words")
+    if max(ids) >= 1 << 20 or max(map(len, (p for p, *_ in pieces))) >= 32:
+        raise ValueError("ids of over 20 bits, or pieces of over 31 characters")
     return Model(pieces, next((i for i in ids if sp.is_byte(i)), None), sp.unk_id(), bpe)
 
 
@@ -73,43 +75,62 @@ def escaped_words(text: Column) -> Column:
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): the lattice of each different word, edges in the order of (rank, start)."""
+    """(word, n, edges): the lattice of each different word, edges as numbers in the order of (rank, start), see _part().
+
+    Words are dealt once by their own hash; their substrings and edges stay where their word is.
+    """
+    words = words.select("word", "n").repartition("word")
     w = F.col("word")
     n = F.length(w)
     span = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("s"), F.substr(w, s + 1, k).alias("piece")))))
     found = words.select("word", F.explode(span).alias("x")).select("word", "x.s", "x.piece").join(F.broadcast(pieces), "piece")
-    edge = F.struct("rank", "s", F.length("piece").alias("k"), "id", "score")
-    return words.join(found.groupBy("word").agg(F.collect_list(edge).alias("edges")), "word", "left").withColumn("edges", F.sort_array(F.coalesce("edges", F.array().cast("array<struct<rank:int,s:int,k:int,id:int,score:double>>"))))
+    edge = F.col("rank").cast("long") * (1 << 31) + F.col("s") * (1 << 25) + F.length("piece") * (1 << 20) + F.col("id")
+    return words.join(found.groupBy("word").agg(F.collect_list(edge).alias("edges")), "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<bigint>")))
+
+
+#: Low bit and size of what an edge's number holds; ranks are above.
+PARTS = {"id": (0, 20), "k": (20, 5), "s": (25, 6)}
+
+
+def _part(edge: Column, name: str) -> Column:
+    low, size = PARTS[name]
+    return F.call_function("shiftright", edge, F.lit(low)).bitwiseAND(F.lit((1 << size) - 1).cast("long")).cast("int")
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
 def merged(word: Column, lattice: Column) -> Column:
     """Borders of the BPE path as bits 0..n: bit i is set if a symbol starts at character i (bit n is the end)."""
     n = F.length(word)
-    one = F.lit(1).cast("long")
-    shift = lambda k: F.call_function("shiftleft", one, k)
-    ends = lambda e: shift(e["s"]).bitwiseOR(shift(e["s"] + e["k"]))
-    inner = lambda e: (shift(e["s"] + e["k"]) - 1) - (shift(e["s"] + 1) - 1)
-    long_edges = F.transform(F.filter(lattice, lambda e: e["k"] > 1), lambda e: F.struct(ends(e).alias("ends"), inner(e).alias("inner")))
+    masks = F.transform(
+        F.filter(lattice, lambda e: _part(e, "k") > 1),
+        lambda e: F.struct(_bit(_part(e, "s")).bitwiseOR(_bit(_part(e, "s") + _part(e, "k"))).alias("ends"), (_bit(_part(e, "s") + _part(e, "k")) - _bit(_part(e, "s") + 1)).alias("inner")),
+    )
+
+    def path(all_: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            b = state["b"]
+            fit = F.get(F.filter(all_, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inner"])) == 1)), 0)["inner"]
+            return F.when(state["done"], state).otherwise(bound(fit, lambda x: F.when(x.isNull(), F.struct(b.alias("b"), F.lit(True).alias("done"))).otherwise(F.struct(b.bitwiseAND(F.bitwise_not(x)).alias("b"), F.lit(False).alias("done")))))
 
-    def step(state: Column, _: Column) -> Column:
-        fit = F.filter(state["left"], lambda e: (state["b"].bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state["b"].bitwiseAND(e["inner"])) == 1))
-        still = F.filter(state["left"], lambda e: state["b"].bitwiseAND(e["inner"]) != 0)
-        done = F.size(fit) == 0
-        return F.when(done, F.struct(state["b"].alias("b"), F.slice(state["left"], 1, 0).alias("left"))).otherwise(F.struct(state["b"].bitwiseAND(F.bitwise_not(F.get(fit, 0)["inner"])).alias("b"), still.alias("left")))
+        start = F.struct((_bit(n + 1) - 1).alias("b"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["b"])
 
-    start = F.struct((shift(n + 1) - 1).alias("b"), long_edges.alias("left"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["b"])
+    return bound(masks, path)
 
 
-def viterbi(word: Column, lattice: Column, unknown_score: float) -> Column:
-    """Borders of the path with the best sum of scores, ties to the longer last piece; a character without a piece costs unknown_score."""
+def viterbi(word: Column, lattice: Column, scores: list[float], unknown_score: float) -> Column:
+    """Borders of the path with the best sum of scores (of ranks), ties to the longer last piece; a character without a piece costs unknown_score."""
     n = F.length(word)
-    shift = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    table = F.array(*[F.lit(float(x)) for x in scores])
 
     def step(best: Column, end: Column) -> Column:
-        ways = F.transform(F.filter(lattice, lambda e: e["s"] + e["k"] == end), lambda e: F.struct((F.get(best, e["s"])["v"] + e["score"]).alias("v"), e["k"].alias("k"), F.get(best, e["s"])["b"].bitwiseOR(shift(end)).alias("b")))
-        other = F.struct((F.get(best, end - 1)["v"] + F.lit(float(unknown_score))).alias("v"), F.lit(1).alias("k"), F.get(best, end - 1)["b"].bitwiseOR(shift(end)).alias("b"))
-        whole = F.when(F.size(F.filter(ways, lambda x: x["k"] == 1)) > 0, ways).otherwise(F.concat(ways, F.array(other)))
+        own = F.filter(lattice, lambda e: _part(e, "s") + _part(e, "k") == end)
+        ways = F.transform(own, lambda e: F.struct((F.get(best, _part(e, "s"))["v"] + F.get(table, F.call_function("shiftright", e, F.lit(31)).cast("int"))).alias("v"), _part(e, "k").alias("k"), F.get(best, _part(e, "s"))["b"].bitwiseOR(_bit(end)).alias("b")))
+        other = F.struct((F.get(best, end - 1)["v"] + F.lit(float(unknown_score))).alias("v"), F.lit(1).alias("k"), F.get(best, end - 1)["b"].bitwiseOR(_bit(end)).alias("b"))
+        whole = bound(ways, lambda x: F.when(F.exists(x, lambda y: y["k"] == 1), x).otherwise(F.concat(x, F.array(other))))
         return F.concat(best, F.array(F.array_max(whole)))
 
     first = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("k"), F.lit(1).cast("long").alias("b")))
@@ -119,16 +140,17 @@ def viterbi(word: Column, lattice: Column, unknown_score: float) -> Column:
 def path_ids(word: Column, lattice: Column, borders: Column, model: Model) -> Column:
     """Ids of the symbols between borders; a symbol without an edge is a character outside the vocabulary."""
     n = F.length(word)
-    bit = lambda i: F.call_function("shiftright", borders, i).bitwiseAND(F.lit(1).cast("long")) == 1
-    cuts = F.filter(F.sequence(F.lit(0), n), bit)
 
     def ids(s: Column, end: Column) -> Column:
-        own = F.filter(lattice, lambda e: (e["s"] == s) & (e["k"] == end - s))
+        own = F.filter(lattice, lambda e: (_part(e, "s") == s) & (_part(e, "k") == end - s))
         raw = F.hex(F.encode(F.substr(word, s + 1, F.lit(1)), "UTF-8"))
         rest = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda p: F.conv(F.substr(raw, p, F.lit(2)), 16, 10).cast("int") + model.byte_ids) if model.byte_ids is not None else F.array(F.lit(model.unknown))
-        return F.when(F.size(own) > 0, F.array(F.get(own, 0)["id"])).otherwise(rest)
+        return bound(F.get(own, 0), lambda e: F.when(e.isNull(), rest).otherwise(F.array(_part(e, "id"))))
 
-    return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda s, i: ids(s, F.get(cuts, i + 1))))
+    def symbols(cuts: Column) -> Column:
+        return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda s, i: ids(s, F.get(cuts, i + 1))))
+
+    return bound(F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", borders, i).bitwiseAND(F.lit(1).cast("long")) == 1), symbols)
 
 
 def fold_long(word: str, model: Model, table: dict[str, tuple[int, float, int]]) -> list[int]:
@@ -179,17 +201,19 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(word, n, ids) for a table (word, n) of different words."""
     spark = words.sparkSession
     short, long = words.filter(F.length("word") <= LONG), words.filter(F.length("word") > LONG)
-    lattice = edges(short.select("word"), model.table(spark), model.longest)
-    w, e = F.col("word"), F.col("edges")
-    lattice = lattice.withColumn("borders", merged(w, e) if model.bpe else viterbi(w, e, min(s for _, _, s, _ in model.pieces) - 10))
-    coded = lattice.select("word", path_ids(w, e, F.col("borders"), model).alias("ids"))
+    lattice = edges(short, model.table(spark), model.longest)
+    w = F.col("word")
+    by_rank = {r: s for _, r, s, _ in model.pieces}
+    borders = (lambda e: merged(w, e)) if model.bpe else lambda e: viterbi(w, e, [by_rank[r] for r in range(len(by_rank))], min(by_rank.values()) - 10)
+    ids = bound(F.sort_array("edges"), lambda e: bound(borders(e), lambda b: path_ids(w, e, b, model)))  # each worked out once a word
+    coded = lattice.select("word", "n", ids.alias("ids"))
     table = {p: (r, s, i) for p, r, s, i in model.pieces}
 
     def fold(s: pd.Series) -> pd.Series:
         return s.map(lambda x: fold_long(x, model, table))
 
     by_python = F.pandas_udf(fold, "array<int>")
-    return short.join(coded, "word").select("word", "n", "ids").unionByName(long.select("word", "n", by_python("word").alias("ids")))
+    return coded.unionByName(long.select("word", "n", by_python("word").alias("ids")))
 
 
 def _word_rows(docs: DataFrame) -> DataFrame:
