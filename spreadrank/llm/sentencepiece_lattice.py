@@ -115,7 +115,8 @@ def merged(word: Column, lattice: Column) -> Column:
             fit = F.get(F.filter(all_, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inner"])) == 1)), 0)["inner"]
             return F.when(state["done"], state).otherwise(bound(fit, lambda x: F.when(x.isNull(), F.struct(b.alias("b"), F.lit(True).alias("done"))).otherwise(F.struct(b.bitwiseAND(F.bitwise_not(x)).alias("b"), F.lit(False).alias("done")))))
 
-        start = F.struct((_bit(n + 1) - 1).alias("b"), F.lit(False).alias("done"))
+        ones = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n + 1))  # no subtraction: at n = LONG it would overflow
+        start = F.struct(ones.alias("b"), F.lit(False).alias("done"))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["b"])
 
     return bound(masks, path)

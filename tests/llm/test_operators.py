@@ -291,6 +291,17 @@ def test_viterbi_lattice(spark):
     assert back == dict(TEXTS)
 
 
+@pytest.mark.parametrize("bpe", [True, False])
+def test_words_at_the_border_of_the_bits(spark, bpe):
+    model = toy_model()
+    model.bpe = bpe
+    table = {p: (r, s, i) for p, r, s, i in model.pieces}
+    texts = [(n, ("abccab" * 12)[: n - 1]) for n in (60, 61, 62, 63, 64)]  # a word is the leading space and the text
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(df, model).collect()}
+    assert got == {n: sentencepiece_lattice.fold_long("▁" + t, model, table) for n, t in texts}
+
+
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
