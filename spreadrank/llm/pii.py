@@ -5,7 +5,7 @@ after a title. A surrogate is drawn from SHA-256 of (key, type, value, attempt):
 
 * digits become digits, letters become letters of the same case and script (Latin, Greek or Cyrillic), other marks stay; hexadecimal stays
   hexadecimal; cards keep their first digit and get a valid check digit; addresses move to reserved domains and to 10.0.0.0/8;
-* names are built from syllables of the value's script, with an ending of the title's gender.
+* names are built from syllables of the value's script, with an ending of the title's gender; each redraw has a syllable more.
 
 Coreference: equal values (e-mail addresses and hexadecimal without regard to case) of a type get one surrogate in all documents. Distinctness:
 surrogates that two values share, or that are themselves a value of the corpus, are drawn anew (all but the least value's)
@@ -103,15 +103,19 @@ def _card(value: Column) -> Column:
     return bound(value, checked)
 
 
-def _name(value: Column, female: Column, digest: Column) -> Column:
-    """As many words as the value has, of syllables of its script; the given name ends as the title's gender asks."""
+def _name(value: Column, female: Column, digest: Column, attempt: Column) -> Column:
+    """As many words as the value has, of syllables of its script; the given name ends as the title's gender asks.
+
+    Each attempt adds a syllable to the given name, so that there are 16 times as many names to draw from.
+    """
     script = F.when(value.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     out = F.lit(None).cast("string")
     for s, parts in SYLLABLES.items():
         table = F.array(*map(F.lit, parts))
-        syllable = lambda i, table=table: F.get(table, F.pmod(_number(digest, F.lit(i)), F.lit(16)))
-        given = F.initcap(F.concat(*[syllable(i) for i in range(3)], F.when(female, ENDING[s][1]).otherwise(ENDING[s][0])))
-        family = F.initcap(F.concat(*[syllable(i) for i in range(3, 7)]))
+        syllable = lambda i, table=table: F.get(table, F.pmod(_number(digest, i), F.lit(16)))
+        more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(7), attempt + 6), lambda i: syllable(i)), "")).otherwise("")
+        given = F.initcap(F.concat(*[syllable(F.lit(i)) for i in range(3)], more, F.when(female, ENDING[s][1]).otherwise(ENDING[s][0])))
+        family = F.initcap(F.concat(*[syllable(F.lit(i)) for i in range(3, 7)]))
         out = F.when(script == s, F.when(F.instr(value, " ") > 0, F.concat(given, F.lit(" "), family)).otherwise(given)).otherwise(out)
     return out
 
@@ -130,7 +134,7 @@ def surrogate(type_: Column, value: Column, female: Column, key: str, attempt: C
             .when(type_ == "card", _card(F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(like, F.lit(2)))))
             .when(type_ == "access_key", F.concat(F.substr(value, F.lit(1), F.lit(4)), F.substr(like, F.lit(5))))
             .when((type_ == "phone") & value.startswith("+"), F.concat(F.regexp_extract(value, r"^\+\d{1,3}(?=\D)|^\+\d", 0), F.substr(like, F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=\D)|^\+\d", 0)) + 1)))
-            .when(type_ == "name", _name(value, female, d))
+            .when(type_ == "name", _name(value, female, d, attempt))
             .otherwise(like)
         )
 

@@ -406,3 +406,13 @@ def test_surrogates_stay_apart(spark):
     out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     assert len(set(out.values())) == len(rows)
     assert not {t.split(" ")[1] for _, t in rows} & {t.split(" ")[1] for t in out.values()}
+
+
+def test_more_one_word_names_than_three_syllables_give(spark):
+    """5,000 men of one word, where three syllables give 4,096 names."""
+    abc = "bcdfghjklmnpqrstvwxz"
+    names = ["Q" + "".join(abc[i // 20**k % 20] for k in range(3)) for i in range(5000)]
+    values = spark.createDataFrame([("name", n, False) for n in names], "type string, value string, female boolean")
+    got = {r.value: r.surrogate for r in pii.surrogate_table(values, "k").collect()}
+    assert sorted(got) == sorted(names) and len(set(got.values())) == len(names)
+    assert all(re.fullmatch("[A-Z][a-z]+nor", s) for s in got.values()) and not set(got) & set(got.values())
