@@ -72,11 +72,17 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.select("doc_id", "items", F.round("coverage", 9).alias("coverage"), (F.size("items") > 0).alias("contaminated"))
 
 
-def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op5_line_dedup(spark: SparkSession, sf_dir: str, long: int | None = None) -> DataFrame:
+    """Windows of two lines only, as in its SQL."""
+    df = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), long=long)
     return df.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("n_chars_left"), sha256("text").alias("kept_sha256"))
 
 
+def op5_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single lines of over 50 words too, as in the pipeline."""
+    return op5_line_dedup(spark, sf_dir, long=50)
+
+
 OP5 = r"""
 with l as (select doc_id, i, x, trim(x, chr(32)||chr(9)||chr(11)||chr(12)||chr(13)) t from (select doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i from documents)),
 f as (select *, row_number() over (partition by doc_id order by i) - 1 k from l where t <> ''),
@@ -131,5 +137,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op3_sentencepiece": op3_sentencepiece, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op6_sharding": op6_sharding, "op7_kneser_ney_quality": op7_kneser_ney_quality, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_warc_index_merge": op2_warc_index_merge, "op3_sentencepiece": op3_sentencepiece, "op4_benchmark_decontamination": op4_benchmark_decontamination, "op5_line_dedup": op5_line_dedup, "op5_line_dedup_long": op5_line_dedup_long, "op6_sharding": op6_sharding, "op7_kneser_ney_quality": op7_kneser_ney_quality, "op8_suffix_array_dedup": op8_suffix_array_dedup, "op9_pii_surrogates": op9_pii_surrogates, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
 ORACLES = {"op1_quality_rules": OP1, "op2_warc_index_merge": OP2, "op5_line_dedup": OP5, "op6_sharding": OP6}

@@ -416,3 +416,15 @@ def test_more_one_word_names_than_three_syllables_give(spark):
     got = {r.value: r.surrogate for r in pii.surrogate_table(values, "k").collect()}
     assert sorted(got) == sorted(names) and len(set(got.values())) == len(names)
     assert all(re.fullmatch("[A-Z][a-z]+nor", s) for s in got.values()) and not set(got) & set(got.values())
+
+
+def test_single_long_lines_go(spark):
+    """A passage of over 50 words goes as a line of its own, whatever is around it; 50 words stay, and runs touch."""
+    passage, fifty = " ".join(f"w{i}" for i in range(51)), " ".join(f"v{i}" for i in range(50))
+    texts = [(1, f"a\n{passage}\nb"), (2, passage), (3, f"c\n\n {passage}\t\nd\n{fifty}"), (4, f"{fifty}\ne"), (5, f"{passage}\na\n{passage}\nb\nf"), (6, None), (7, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.dedup_lines(df).collect()}
+    want = {1: (texts[0][1], 0, 0), 2: ("", 1, 1), 3: (f"c\n\nd\n{fifty}", 1, 1), 4: (texts[3][1], 0, 0), 5: ("f", 4, 1), 6: (None, 0, 0), 7: ("", 0, 0)}
+    assert got == want
+    plain = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, long=None).collect()}
+    assert plain == {1: 0, 2: 0, 3: 0, 4: 0, 5: 3, 6: 0, 7: 0}
