@@ -12,7 +12,7 @@
 4. Characters without a piece become bytes. Ids come back to the documents as in ``word_table``.
 
 Words of over LONG characters don't fit the bits and are folded in Python by the same rules. Null and empty texts have no
-ids. Decoding joins ids to pieces, collects bytes in order and removes the leading space; decode(encode(x)) is x,
+ids. Decoding looks ids up in the pieces, joins their bytes in order and removes the leading space; decode(encode(x)) is x,
 but for ``▁`` itself in a text, which the model cannot tell from a space. Repeated
 rows and null ids as in ``common``.
 """
@@ -240,28 +240,31 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def encoding_digest(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_byte_tokens, ids_digest, n_chars): counts and a fingerprint of each encoded text, without moving its ids.
+    """(doc_id, n_tokens, n_byte_tokens, ids_digest, n_chars, decoded_sha256, round_trip) of each text, encoded whole and decoded again.
 
-    ids_digest: XOR of xxhash64(place of the word, its ids) over the words, so it depends on all ids and their order.
+    ids_digest: xxhash64 of the whole sequence of ids. round_trip: the decoded text is the text; null texts have null.
     """
     docs = one_row_per_doc(docs, columns=["text"]).select("doc_id", "text")
-    table = word_ids(docs, model)
+    coded = encode(docs, model)
     first = model.byte_ids if model.byte_ids is not None else -1
-    brief = materialize(table.select("word", "n", F.size("ids").alias("t"), F.size(F.filter("ids", lambda i: (i >= first) & (i < first + 256) if first >= 0 else i == model.unknown)).alias("u"), F.xxhash64("ids").alias("h")), "word-digests")
-    sums = per_document(_word_rows(docs), brief, ["word"], lambda: [F.sum("t").alias("t"), F.sum("u").alias("u"), F.bit_xor(F.xxhash64("at", "h")).alias("h")])
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return docs.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(sums, "doc_id", "left").select("doc_id", "n_chars", zero("t").alias("n_tokens"), zero("u").alias("n_byte_tokens"), zero("h").alias("ids_digest"))
+    other = F.filter("ids", lambda i: (i >= first) & (i < first + 256) if first >= 0 else i == model.unknown)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    made = coded.select("doc_id", size(F.coalesce("ids", F.array().cast("array<int>"))).alias("n_tokens"), size(F.coalesce(other, F.array().cast("array<int>"))).alias("n_byte_tokens"), F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_digest"), sha(decoded(F.col("ids"), model)).alias("decoded_sha256"))
+    own = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), sha(F.col("text")).alias("__sha"))
+    return own.join(made, "doc_id").select("doc_id", "n_chars", "n_tokens", "n_byte_tokens", "ids_digest", "decoded_sha256", (F.col("decoded_sha256") == F.col("__sha")).alias("round_trip"))
 
 
-def decode(encoded: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): ids joined to their pieces, bytes in order; ids without a piece have no text."""
-    spark = encoded.sparkSession
-    raw = [(i, p.replace(SPACE, " ").encode()) for p, _, _, i in model.pieces]
+def decoded(ids: Column, model: Model) -> Column:
+    """The text of an array of ids: their bytes in order, without the leading space; ids without a piece have no text."""
+    raw = {i: p.replace(SPACE, " ").encode().hex() for p, _, _, i in model.pieces}
     if model.byte_ids is not None:
-        raw += [(model.byte_ids + b, bytes([b])) for b in range(256)]
-    pieces = spark.createDataFrame(raw, "id int, b binary")
-    rows = encoded.select("doc_id", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces), "id")
-    text = F.decode(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.hex("b").alias("x")))), lambda s: s["x"]), "")), "UTF-8")
-    texts = rows.groupBy("doc_id").agg(text.alias("t"))
-    whole = encoded.select("doc_id", F.col("ids").isNull().alias("none")).join(texts, "doc_id", "left")
-    return whole.select("doc_id", F.when(~F.col("none"), F.regexp_replace(F.coalesce("t", F.lit("")), "^ ", "")).alias("text"))
+        raw |= {model.byte_ids + b: f"{b:02x}" for b in range(256)}
+    table = F.split(F.lit(",".join(raw.get(i, "") for i in range(max(raw) + 1))), ",", -1)  # folded to a constant by Spark
+    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
+    return F.regexp_replace(text, "^ ", "")
+
+
+def decode(encoded: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids), see decoded()."""
+    return encoded.select("doc_id", decoded(F.col("ids"), model).alias("text"))

@@ -428,3 +428,18 @@ def test_single_long_lines_go(spark):
     assert got == want
     plain = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, long=None).collect()}
     assert plain == {1: 0, 2: 0, 3: 0, 4: 0, 5: 3, 6: 0, 7: 0}
+
+
+def test_digest_is_of_whole_ids_and_decoded_text(spark):
+    """op3's row of a document says what its whole id sequence is and what it decodes to."""
+    model = toy_model()
+    df = spark.createDataFrame([*TEXTS, (8, "ab▁c"), (9, "abc cab  aab")], "doc_id long, text string")
+    got = {r.doc_id: r for r in sentencepiece_lattice.encoding_digest(df, model).collect()}
+    ids = sentencepiece_lattice.encode(df, model)
+    want = {r.doc_id: r for r in ids.select("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("h")).collect()}
+    for d, t in [*TEXTS, (8, "ab▁c"), (9, "abc cab  aab")]:
+        back = None if t is None else t.replace("▁", " ")
+        assert got[d].decoded_sha256 == (None if t is None else hashlib.sha256(back.encode()).hexdigest())
+        assert got[d].round_trip == (None if t is None else back == t)
+        assert (got[d].n_tokens, got[d].ids_digest) == ((0, None) if t is None else (want[d].n, want[d].h))
+    assert got[2].ids_digest == got[9].ids_digest != got[3].ids_digest
