@@ -12,7 +12,7 @@ from spreadrank.llm.kneser_ney import classify
 from spreadrank.llm.line_dedup import dedup_lines
 from spreadrank.llm.pii import replace_pii
 from spreadrank.llm.quality_rules import quality_rules
-from spreadrank.llm.sentencepiece_lattice import encoding_digest, load_model
+from spreadrank.llm.sentencepiece_lattice import load_model, round_trips
 from spreadrank.llm.sharding import ShardStore
 from spreadrank.llm.suffix_repeats import remove_repeats
 from spreadrank.llm.warc import merge_runs, read_warc, write_warc
@@ -64,7 +64,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECES) -> DataFrame:
-    return encoding_digest(table(spark, sf_dir, "documents"), load_model(model_file))
+    return round_trips(table(spark, sf_dir, "documents"), load_model(model_file))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

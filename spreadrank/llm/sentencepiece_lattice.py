@@ -1,270 +1,398 @@
-"""SentencePiece encoding and decoding as a relational lattice over the different words of a corpus.
-
-1. A text gets its leading space and ``▁`` for spaces (the model's dummy prefix and escaping), and is cut into words before
-   each run of ``▁`` and around new lines. No piece of the model lies across such a cut (checked when it is loaded), so words
-   are encoded on their own, and each different word once.
-2. Lattice: the substrings of a word, up to the longest piece, are exploded and equi-joined to the piece table; what matches
-   are edges (rank, start, length, id), packed into a number each and grouped by word.
-3. A fold (Spark's ``aggregate``) over the edges takes the word's path. For unigram models the path is the best sum of scores
-   (Viterbi). For BPE models that path is not what the encoder gives, so the fold replays its merges: of the edges that
-   span exactly two symbols, the best ranked, leftmost one is merged, until none is left. Borders between symbols are bits
-   of a number, so a step is a few bit operations an edge.
-4. Characters without a piece become bytes. Ids come back to the documents as in ``word_table``.
-
-Words of over LONG characters don't fit the bits and are folded in Python by the same rules. Null and empty texts have no
-ids. Decoding looks ids up in the pieces, joins their bytes in order and removes the leading space; decode(encode(x)) is x,
-but for ``▁`` itself in a text, which the model cannot tell from a space. Repeated
-rows and null ids as in ``common``.
+"""SentencePiece encoding and decoding as a lattice over the different words of a corpus.
+
+1. A text gets its leading space (``▁`` counts as a space) and is cut into words before each run of spaces and around new
+   lines. No piece of the model lies across such a cut (checked when it is loaded), so each different word is encoded once.
+2. Lattice: sorted words make a trie in each block of BLOCK words. For every node, the substrings that end there, up to the
+   longest piece, are exploded, equi-joined to the piece table by hash and length, and grouped by node: these are
+   edges (score, node where the piece starts, id), columns of Arrow batches, one row a block. A prefix that words share is joined once.
+3. Viterbi: Spark's ``aggregate`` folds a block's nodes in order. The state has each node's best sum of scores and the edge it
+   came by (ties: the longest last piece), and the ids of a word are read back from its last node.
+4. Frequent words, HOT at most, are sent to every task as numbers; texts become sequences of numbers in place. The other
+   words are joined to their ids on the word itself and brought to their documents in order, where all ids are put together.
+
+The path is the model's best under its own scores, as in a unigram model (for the same scores, the ``sentencepiece`` library
+gives the same ids). A BPE model's own encoder merges pair by pair instead; see the README.
+
+A character without a piece costs 10 more than the least score and becomes bytes, or the unknown id. Null texts have null,
+empty ones no ids; words of any length take the same way, a word of n characters copies n * n / 2 numbers in the fold.
+Decoding looks ids up in the pieces, joins their bytes in order and removes the leading space; decode(encode(x)) is x, but
+for ``▁`` in a text, which the model cannot tell from a space. Repeated rows and null ids as in ``common``.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import bound, drop_tables, materialize, one_row_per_doc, release
-from spreadrank.llm.word_table import per_document
+from spreadrank.llm.bytes_np import BASE, BYTE, STEP, U, mix, pieces, powers
+from spreadrank.llm.common import drop_tables, materialize, one_row_per_doc, release
+from spreadrank.llm.word_table import hot_count
 
 SPACE = "▁"
-LONG = 62
 #: A word is a run of spaces with what follows, or a new line.
-WORDS = rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n"
+WORDS = r" *[^ \n]+| +|\n"
+#: Words in a trie; longer words than WIDE characters are blocks of their own.
+BLOCK, WIDE = 48, 64
+#: The most words that are sent to every task, of HOT_BYTES each at most.
+HOT, HOT_BYTES = 1_000_000, 64
+#: Words put together at once.
+CHUNK = 200_000
 
 
 @dataclass
 class Model:
-    """A vocabulary: (piece, rank, score, id); lower ranks are merged first. byte_ids: id of byte 0, the others follow it."""
+    """A vocabulary: (piece, score, id). byte_ids: id of byte 0, the others follow it."""
 
-    pieces: list[tuple[str, int, float, int]]
+    pieces: list[tuple[str, float, int]]
     byte_ids: int | None
     unknown: int
-    bpe: bool
 
     @property
-    def longest(self) -> int:
-        return max(len(p) for p, *_ in self.pieces)
+    def unknown_score(self) -> float:
+        return min(s for _, s, _ in self.pieces) - 10
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.pieces, "piece string, rank int, score double, id int")
 
-
-def load_model(path: str, bpe: bool = True) -> Model:
+def load_model(path: str) -> Model:
     """The vocabulary of a SentencePiece model file (read on the driver; its size doesn't depend on the data)."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(sp.get_piece_size())
     plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
-    pieces = [(sp.id_to_piece(i), order[sp.get_score(i)], sp.get_score(i), i) for i in plain]
-    if any("\n" in p or SPACE in p.lstrip(SPACE) for p, *_ in pieces):
+    found = [(sp.id_to_piece(i), sp.get_score(i), i) for i in plain]
+    if any("\n" in p or SPACE in p.lstrip(SPACE) for p, *_ in found):
         raise ValueError("this model has pieces across words")
-    if max(ids) >= 1 << 20 or max(map(len, (p for p, *_ in pieces))) >= 32:
-        raise ValueError("ids of over 20 bits, or pieces of over 31 characters")
-    return Model(pieces, next((i for i in ids if sp.is_byte(i)), None), sp.unk_id(), bpe)
+    return Model(found, next((i for i in ids if sp.is_byte(i)), None), sp.unk_id())
 
 
-def escaped_words(text: Column) -> Column:
-    """A text's words in order."""
-    t = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(t, F.lit(WORDS), F.lit(0)))
+def escaped(text: Column) -> Column:
+    """A text with its leading space; empty and null stay."""
+    return F.when(text == "", text).otherwise(F.concat(F.lit(" "), F.replace(text, F.lit(SPACE), F.lit(" "))))
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, n, edges): the lattice of each different word, edges as numbers in the order of (rank, start), see _part().
+def words_of(texts: DataFrame) -> DataFrame:
+    """(word, n): the different words of escaped texts and their occurrences."""
+    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    Words are dealt once by their own hash; their substrings and edges stay where their word is.
-    """
-    words = words.select("word", "n").repartition("word")
-    w = F.col("word")
-    n = F.length(w)
-    span = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda k: F.struct(s.alias("s"), F.substr(w, s + 1, k).alias("piece")))))
-    found = words.select("word", F.explode(span).alias("x")).select("word", "x.s", "x.piece").join(F.broadcast(pieces), "piece")
-    edge = F.col("rank").cast("long") * (1 << 31) + F.col("s") * (1 << 25) + F.length("piece") * (1 << 20) + F.col("id")
-    return words.join(found.groupBy("word").agg(F.collect_list(edge).alias("edges")), "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<bigint>")))
-
-
-#: Low bit and size of what an edge's number holds; ranks are above.
-PARTS = {"id": (0, 20), "k": (20, 5), "s": (25, 6)}
-
-
-def _part(edge: Column, name: str) -> Column:
-    low, size = PARTS[name]
-    return F.call_function("shiftright", edge, F.lit(low)).bitwiseAND(F.lit((1 << size) - 1).cast("long")).cast("int")
-
-
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
-
-
-def merged(word: Column, lattice: Column) -> Column:
-    """Borders of the BPE path as bits 0..n: bit i is set if a symbol starts at character i (bit n is the end)."""
-    n = F.length(word)
-    masks = F.transform(
-        F.filter(lattice, lambda e: _part(e, "k") > 1),
-        lambda e: F.struct(_bit(_part(e, "s")).bitwiseOR(_bit(_part(e, "s") + _part(e, "k"))).alias("ends"), (_bit(_part(e, "s") + _part(e, "k")) - _bit(_part(e, "s") + 1)).alias("inner")),
-    )
-
-    def path(all_: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            b = state["b"]
-            fit = F.get(F.filter(all_, lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inner"])) == 1)), 0)["inner"]
-            return F.when(state["done"], state).otherwise(bound(fit, lambda x: F.when(x.isNull(), F.struct(b.alias("b"), F.lit(True).alias("done"))).otherwise(F.struct(b.bitwiseAND(F.bitwise_not(x)).alias("b"), F.lit(False).alias("done")))))
-
-        ones = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), n + 1))  # no subtraction: at n = LONG it would overflow
-        start = F.struct(ones.alias("b"), F.lit(False).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["b"])
-
-    return bound(masks, path)
-
-
-def viterbi(word: Column, lattice: Column, scores: list[float], unknown_score: float) -> Column:
-    """Borders of the path with the best sum of scores (of ranks), ties to the longer last piece; a character without a piece costs unknown_score."""
-    n = F.length(word)
-    table = F.array(*[F.lit(float(x)) for x in scores])
-
-    def step(best: Column, end: Column) -> Column:
-        own = F.filter(lattice, lambda e: _part(e, "s") + _part(e, "k") == end)
-        ways = F.transform(own, lambda e: F.struct((F.get(best, _part(e, "s"))["v"] + F.get(table, F.call_function("shiftright", e, F.lit(31)).cast("int"))).alias("v"), _part(e, "k").alias("k"), F.get(best, _part(e, "s"))["b"].bitwiseOR(_bit(end)).alias("b")))
-        other = F.struct((F.get(best, end - 1)["v"] + F.lit(float(unknown_score))).alias("v"), F.lit(1).alias("k"), F.get(best, end - 1)["b"].bitwiseOR(_bit(end)).alias("b"))
-        whole = bound(ways, lambda x: F.when(F.exists(x, lambda y: y["k"] == 1), x).otherwise(F.concat(x, F.array(other))))
-        return F.concat(best, F.array(F.array_max(whole)))
-
-    first = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("k"), F.lit(1).cast("long").alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), n), first, step, lambda a: F.get(a, n)["b"])
-
-
-def path_ids(word: Column, lattice: Column, borders: Column, model: Model) -> Column:
-    """Ids of the symbols between borders; a symbol without an edge is a character outside the vocabulary."""
-    n = F.length(word)
-
-    def ids(s: Column, end: Column) -> Column:
-        own = F.filter(lattice, lambda e: (_part(e, "s") == s) & (_part(e, "k") == end - s))
-        raw = F.hex(F.encode(F.substr(word, s + 1, F.lit(1)), "UTF-8"))
-        rest = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda p: F.conv(F.substr(raw, p, F.lit(2)), 16, 10).cast("int") + model.byte_ids) if model.byte_ids is not None else F.array(F.lit(model.unknown))
-        return bound(F.get(own, 0), lambda e: F.when(e.isNull(), rest).otherwise(F.array(_part(e, "id"))))
-
-    def symbols(cuts: Column) -> Column:
-        return F.flatten(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda s, i: ids(s, F.get(cuts, i + 1))))
-
-    return bound(F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", borders, i).bitwiseAND(F.lit(1).cast("long")) == 1), symbols)
-
-
-def fold_long(word: str, model: Model, table: dict[str, tuple[int, float, int]]) -> list[int]:
-    """The same path for a word of any length, with a heap of merges or an array of best sums."""
-    n = len(word)
-    if model.bpe:
-        left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
-        live, heap = [True] * n, []
-
-        def offer(a: int) -> None:
-            if a >= 0 and right[a] < n:
-                b = right[a]
-                if (p := table.get(word[a : end[b]]) if end[b] - a <= model.longest else None) is not None:
-                    heapq.heappush(heap, (p[0], a, b, end[a], end[b]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, a, b, ea, eb = heapq.heappop(heap)
-            if live[a] and live[b] and end[a] == ea == b and end[b] == eb:
-                live[b], end[a], right[a] = False, eb, right[b]
-                if right[b] < n:
-                    left[right[b]] = a
-                offer(left[a])
-                offer(a)
-        spans = [(i, end[i]) for i in range(n) if live[i]]
-    else:
-        lowest = min(s for _, s, _ in table.values()) - 10
-        best = [(0.0, 0, 0)]
-        for e in range(1, n + 1):
-            ways = [(best[e - k][0] + p[1], k) for k in range(1, min(model.longest, e) + 1) if (p := table.get(word[e - k : e]))]
-            if not any(k == 1 for _, k in ways):
-                ways.append((best[e - 1][0] + lowest, 1))
-            best.append((*max(ways), 0))
-        spans, e = [], n
-        while e:
-            spans.append((e - best[e][1], e))
-            e -= best[e][1]
-        spans.reverse()
-    out = []
-    for a, b in spans:
-        p = table.get(word[a:b])
-        out += [p[2]] if p else [model.byte_ids + x for x in word[a:b].encode()] if model.byte_ids is not None else [model.unknown]
-    return out
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, lengths), a row for each word."""
+    n = np.array([len(w) for w in words])
+    c = np.zeros((len(words), n.max()), np.uint32)
+    c[np.arange(c.shape[1]) < n[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return c, n
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, ids) for a table (word, n) of different words."""
-    spark = words.sparkSession
-    short, long = words.filter(F.length("word") <= LONG), words.filter(F.length("word") > LONG)
-    lattice = edges(short, model.table(spark), model.longest)
-    w = F.col("word")
-    by_rank = {r: s for _, r, s, _ in model.pieces}
-    borders = (lambda e: merged(w, e)) if model.bpe else lambda e: viterbi(w, e, [by_rank[r] for r in range(len(by_rank))], min(by_rank.values()) - 10)
-    ids = bound(F.sort_array("edges"), lambda e: bound(borders(e), lambda b: path_ids(w, e, b, model)))  # each worked out once a word
-    coded = lattice.select("word", "n", ids.alias("ids"))
-    table = {p: (r, s, i) for p, r, s, i in model.pieces}
-
-    def fold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: fold_long(x, model, table))
-
-    by_python = F.pandas_udf(fold, "array<int>")
-    return coded.unionByName(long.select("word", "n", by_python("word").alias("ids")))
-
-
-def _word_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(escaped_words(F.col("text"))).alias("at", "word"))
-
-
-def word_ids(docs: DataFrame, model: Model) -> DataFrame:
-    """(word, n, ids) of the different words of the texts."""
-    words = docs.select(F.explode(escaped_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = materialize(words, "pieces-words")
-    out = materialize(encode_words(words, model), "word-ids")
-    drop_tables(words)
-    release(docs.sparkSession)
+
+def _sums(c: np.ndarray) -> np.ndarray:
+    """Sums of the hashes of code points along the rows, so that any substring's hash is a difference."""
+    with np.errstate(over="ignore"):
+        out = np.zeros((len(c), c.shape[1] + 1), np.uint64)
+        np.cumsum(mix((c.astype(np.uint64) + U(1)) * STEP) * powers(BASE, c.shape[1])[: c.shape[1]], axis=1, out=out[:, 1:])
     return out
 
 
-def encode(docs: DataFrame, model: Model) -> DataFrame:
+EDGES = "words array<string>, n array<long>, last array<int>, nodes array<array<struct<score:double,origin:int,id:int>>>"
+
+
+class Pieces:
+    """The piece table by length, hashes sorted for joins."""
+
+    def __init__(self, model: Model):
+        self.byte_ids, self.unknown, self.unknown_score = model.byte_ids, model.unknown, model.unknown_score
+        self.scores = np.zeros(max(i for *_, i in model.pieces) + 1)
+        by_length: dict[int, dict[str, int]] = {}
+        for piece, score, i in model.pieces:
+            by_length.setdefault(len(piece), {}).setdefault(piece.replace(SPACE, " "), i)
+            self.scores[i] = score
+        self.tables = {}
+        for k, own in sorted(by_length.items()):
+            hashes, ids = mix(_sums(_codes(list(own))[0])[:, -1]), np.array(list(own.values()), np.int32)
+            order = np.argsort(hashes)
+            self.tables[k] = (hashes[order], ids[order])
+        self.longest = max(self.tables)
+
+    def block_rows(self, words: list[str], n: pa.Array) -> pa.RecordBatch:
+        """The lattice of sorted words, a row for each BLOCK of them, see EDGES."""
+        c, size = _codes(words)
+        places = np.arange(c.shape[1])
+        inside = places < size[:, None]
+        shared = np.zeros(len(words), np.int64)
+        shared[1:] = np.cumprod((c[1:] == c[:-1]) & inside[1:] & inside[:-1], axis=1).sum(1)
+        shared[::BLOCK] = 0
+        row, at = np.nonzero(inside & (places >= shared[:, None]))  # a node is the prefix of row's word that ends at place ``at``
+        number = np.zeros((len(words), c.shape[1] + 1), np.int64)
+        number[row, at + 1] = np.arange(1, len(row) + 1)
+        number = np.maximum.accumulate(number, axis=0)  # a prefix that is shared has the number of the word before
+        before = number[::BLOCK, 1] - 1  # nodes before each block
+        base = before[np.arange(len(words)) // BLOCK]
+        sums, inverse = _sums(c), powers(pow(BASE, -1, 1 << 64), c.shape[1])
+        ids = np.full((len(row), self.longest), -1, np.int32)
+        with np.errstate(over="ignore"):
+            for k, (hashes, own) in self.tables.items():
+                node = np.flatnonzero(at >= k - 1)
+                r, e = row[node], at[node] + 1
+                h = mix((sums[r, e] - sums[r, e - k]) * inverse[e - k])
+                found = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[found] == h
+                ids[node[hit], k - 1] = own[found[hit]]
+        ids[:, 0] = np.where(ids[:, 0] < 0, -2 - c[row, at].astype(np.int64), ids[:, 0])  # no piece: the character itself
+        edge = ids != -1
+        node, k = np.nonzero(edge)
+        i, start = ids[node, k], at[node] - k
+        origin = np.where(start > 0, number[row[node], start] - base[row[node]], 0)
+        edges = pa.StructArray.from_arrays([pa.array(np.where(i >= 0, self.scores[np.maximum(i, 0)], self.unknown_score)), pa.array(origin.astype(np.int32)), pa.array(i)], names=["score", "origin", "id"])
+        each = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(edge.sum(1)))).astype(np.int32), edges)
+        cuts = np.append(np.arange(0, len(words), BLOCK), len(words)).astype(np.int32)
+        last = pa.array((number[np.arange(len(words)), size] - base).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(words), n, last)]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(np.append(before, len(row)).astype(np.int32), each)], names=["words", "n", "last", "nodes"])
+
+    def lattice(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = batch.column(0), batch.column(1)
+            wide = np.array(pc.utf8_length(word)) > WIDE
+            for i in np.flatnonzero(wide):
+                yield self.block_rows([word[i].as_py()], n.slice(i, 1))
+            if not wide.all():
+                short = pa.array(~wide)
+                yield self.block_rows(word.filter(short).to_pylist(), n.filter(short))
+
+    def read_back(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, n, ids) from blocks with the best edge of every node."""
+        for batch in batches:
+            words, n, last, path = (batch.column(i) for i in range(4))
+            base = np.repeat(path.offsets.to_numpy()[:-1], np.diff(words.offsets.to_numpy()))
+            best = path.values
+            origin, ids, at = -best.field("origin").to_numpy(), best.field("id").to_numpy(), last.values.to_numpy().copy()
+            live, owners, found = np.arange(len(at)), [], []
+            while len(live):
+                node = base[live] + at[live]
+                owners.append(live)
+                found.append(ids[node])
+                at[live] = origin[node]
+                live = live[at[live] > 0]
+            if not owners:
+                continue
+            owner, token = np.concatenate(owners[::-1]), np.concatenate(found[::-1])
+            order = np.argsort(owner, kind="stable")
+            owner, token = self.whole(owner[order], token[order])
+            offsets = np.searchsorted(owner, np.arange(len(at) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([words.values, n.values, pa.ListArray.from_arrays(offsets, pa.array(token))], names=["word", "n", "ids"])
+
+    def whole(self, owner: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece (-2 - code point) as ids of their bytes, or as the unknown id."""
+        other = np.flatnonzero(token < 0)
+        if not len(other):
+            return owner, token
+        if self.byte_ids is None:
+            return owner, np.where(token < 0, np.int32(self.unknown), token)
+        raw = [chr(-2 - t).encode() for t in token[other].tolist()]
+        size = np.ones(len(token), np.int64)
+        size[other] = [len(x) for x in raw]
+        out = np.repeat(token, size)
+        out[out < 0] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + self.byte_ids
+        return np.repeat(owner, size), out
+
+
+def viterbi(nodes: Column) -> Column:
+    """For each node (0 is the empty prefix): the best sum of scores, minus the node it came from, and the id of the last piece."""
+    first = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("origin"), F.lit(0).alias("id")))
+
+    def step(best: Column, edges: Column) -> Column:
+        ways = F.transform(edges, lambda e: F.struct((F.get(best, e["origin"])["v"] + e["score"]).alias("v"), (-e["origin"]).alias("origin"), e["id"].alias("id")))
+        return F.concat(best, F.array(F.array_max(ways)))
+
+    return F.aggregate(nodes, first, step)
+
+
+def encode_words(words: DataFrame, model: Model) -> DataFrame:
+    """(word, n, ids) for a table (word, n) of different words."""
+    table = Pieces(model)
+    blocks = words.select("word", "n").sortWithinPartitions("word").mapInArrow(table.lattice, EDGES)
+    return blocks.select("words", "n", "last", viterbi(F.col("nodes")).alias("path")).mapInArrow(table.read_back, "word string, n long, ids array<int>")
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of escaped texts, by the rule of WORDS."""
+    line, space, head = data == 10, data == 32, np.zeros(len(data) + 1, bool)
+    head[offsets] = True
+    starts = line | head[:-1] | space
+    starts[1:] = head[1:-1] | line[1:] | line[:-1] | space[1:] & ~space[:-1]
+    at = np.flatnonzero(starts)
+    return at, np.append(at[1:], len(data))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE[data] * powers(BASE, len(data))[: len(data)], dtype=np.uint64, out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * powers(pow(BASE, -1, 1 << 64), len(data))[starts] + (ends - starts).astype(np.uint64) * STEP)
+
+
+class Frequent:
+    """The words sent to every task: sorted hashes, each word's number (by falling count) and the ids of each number."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(-table["n"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        word, ids = (table[c].chunk(0) if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("word", "ids"))
+        _, _, data, offsets = next(pieces(pa.array(["".join(word.to_pylist())])), (0, 0, np.zeros(0, np.uint8), None))
+        size = np.array(pc.binary_length(word), np.int64)
+        ends = np.cumsum(size)
+        hashes = _hashes(data, ends - size, ends)
+        self.numbers = np.argsort(hashes).astype(np.int32)
+        self.hashes, self.offsets, self.ids = hashes[self.numbers], ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number, -1 for other words."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], np.int32(-1))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers as a small blob: their low bytes first."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress((numbers + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
+
+
+def numbered(sent):
+    """mapInArrow function: (doc_id, text) to (doc_id, packed numbers, the words without a number in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in pieces(batch.column(1)):
+                starts, ends = _spans(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
+                numbers = sent.value.find(_hashes(data, starts, ends))
+                cuts, raw = np.searchsorted(starts, offsets), data.tobytes()
+                other = np.flatnonzero(numbers < 0)
+                seldom = pa.array([raw[a:z] for a, z in zip(starts[other].tolist(), ends[other].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                lists = pa.ListArray.from_arrays(np.searchsorted(other, cuts).astype(np.int32), seldom)
+                packed = [_packed(numbers[a:z]) if ok else None for a, z, ok in zip(cuts[:-1], cuts[1:], batch.column(1).slice(first, last - first).is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(packed, pa.binary()), lists], names=["doc_id", "numbers", "seldom"])
+
+    return run
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """pool[start : start + size] of all, one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def put_together(sent):
+    """mapInArrow function: (doc_id, numbers, rest: array of (place, ids)) to (doc_id, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, words = [], 0
+            for i in range(batch.num_rows):
+                blob = batch.column(1)[i].as_py()
+                held.append(_unpacked(blob) if blob is not None else None)
+                words += len(held[-1]) if blob is not None else 0
+                if words >= CHUNK or i == batch.num_rows - 1:
+                    yield whole(batch.slice(i + 1 - len(held), len(held)), held)
+                    held, words = [], 0
+
+    def whole(part: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        own = sent.value
+        sizes = np.array([0 if x is None else len(x) for x in held])
+        numbers = np.concatenate([x for x in held if x is not None] or [np.zeros(0, np.int64)])
+        rest = part.column(2).fill_null([]) if part.column(2).null_count else part.column(2)
+        places = rest.flatten()
+        order = np.lexsort((places.field("place").to_numpy(), np.repeat(np.arange(len(held)), np.array(pc.list_value_length(rest)))))
+        ids = places.field("ids")
+        from_, to = ids.offsets.to_numpy()[:-1].astype(np.int64)[order], ids.offsets.to_numpy()[1:].astype(np.int64)[order]
+        known, at = numbers >= 0, np.maximum(numbers, 0)
+        starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        if len(own.hashes):
+            starts, lengths = own.offsets[at], own.offsets[at + 1] - own.offsets[at]
+        starts[~known], lengths[~known] = from_ + len(own.ids), to - from_
+        out = _gathered(np.concatenate((own.ids, ids.values.to_numpy())), starts, lengths)
+        cuts = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
+        lists = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(out.astype(np.int32)), mask=pa.array([x is None for x in held]))
+        return pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+
+    return run
+
+
+def encode(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; null texts have null."""
-    docs = one_row_per_doc(docs, columns=["text"]).select("doc_id", "text")
-    table = word_ids(docs, model)
-    lists = per_document(_word_rows(docs), table, ["word"], lambda: [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids")])
-    return docs.select("doc_id", F.col("text").isNull().alias("none")).join(lists, "doc_id", "left").select("doc_id", F.when(~F.col("none"), F.coalesce("ids", F.array().cast("array<int>"))).alias("ids"))
+    spark = docs.sparkSession
+    texts = one_row_per_doc(docs, columns=["text"]).select("doc_id", escaped(F.col("text")).alias("text"))
+    table = materialize(encode_words(words_of(texts), model), "word-ids")
+    release(spark)
+    often = (F.col("n") >= hot_count(table, hot=hot)) & (F.octet_length("word") <= HOT_BYTES)
+    sent = spark.sparkContext.broadcast(Frequent(table.filter(often).toArrow()))
+    numbers = materialize(texts.mapInArrow(numbered(sent), "doc_id long, numbers binary, seldom array<string>"), "numbers")
+    asked = numbers.select("doc_id", F.posexplode("seldom").alias("place", "word"))
+    rest = asked.join(table.filter(~often).select("word", "ids"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
+    rest = materialize(rest, "seldom-ids")
+    drop_tables(table)
+    release(spark)
+    return numbers.select("doc_id", "numbers").join(rest, "doc_id", "left").select("doc_id", "numbers", "rest").mapInArrow(put_together(sent), "doc_id long, ids array<int>")
+
+
+class Bytes:
+    """The bytes of every id; ids without a piece have none."""
+
+    def __init__(self, model: Model):
+        raw = {i: p.replace(SPACE, " ").encode() for p, _, i in model.pieces}
+        if model.byte_ids is not None:
+            raw |= {model.byte_ids + b: bytes([b]) for b in range(256)}
+        parts = [raw.get(i, b"") for i in range(max(raw) + 2)]
+        self.pool = np.frombuffer(b"".join(parts), np.uint8)
+        self.sizes = np.array([len(p) for p in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, CHUNK * 4 * batch.num_rows // max(1, len(batch.column(1).values)))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                ids = part.column(1).flatten().to_numpy()
+                ids = np.where((ids >= 0) & (ids < len(self.sizes)), ids, len(self.sizes) - 1)
+                out = _gathered(self.pool, self.starts[ids], self.sizes[ids])
+                counts = np.array(pc.fill_null(pc.list_value_length(part.column(1)), 0), np.int64)
+                cuts = np.concatenate(([0], np.cumsum(self.sizes[ids])))[np.concatenate(([0], np.cumsum(counts)))]
+                starts, raw = cuts[:-1].copy(), out.tobytes()
+                texts = [raw[a + (raw[a : a + 1] == b" ") * (a < z) : z] if ok else None for a, z, ok in zip(starts.tolist(), cuts[1:].tolist(), part.column(1).is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=["doc_id", "ids", "text"])
+
+
+def decoded(encoded: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, ids, text) from (doc_id, ids)."""
+    out = encoded.select("doc_id", "ids").mapInArrow(Bytes(model).decoded, "doc_id long, ids array<int>, text binary")
+    return out.withColumn("text", F.make_valid_utf8(F.col("text").cast("string")))
 
 
-def encoding_digest(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_byte_tokens, ids_digest, n_chars, decoded_sha256, round_trip) of each text, encoded whole and decoded again.
+def decode(encoded: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids): the bytes of the ids in order, without the leading space."""
+    return decoded(encoded, model).select("doc_id", "text")
 
-    ids_digest: xxhash64 of the whole sequence of ids. round_trip: the decoded text is the text; null texts have null.
-    """
-    docs = one_row_per_doc(docs, columns=["text"]).select("doc_id", "text")
-    coded = encode(docs, model)
-    first = model.byte_ids if model.byte_ids is not None else -1
-    other = F.filter("ids", lambda i: (i >= first) & (i < first + 256) if first >= 0 else i == model.unknown)
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
-    made = coded.select("doc_id", size(F.coalesce("ids", F.array().cast("array<int>"))).alias("n_tokens"), size(F.coalesce(other, F.array().cast("array<int>"))).alias("n_byte_tokens"), F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_digest"), sha(decoded(F.col("ids"), model)).alias("decoded_sha256"))
-    own = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), sha(F.col("text")).alias("__sha"))
-    return own.join(made, "doc_id").select("doc_id", "n_chars", "n_tokens", "n_byte_tokens", "ids_digest", "decoded_sha256", (F.col("decoded_sha256") == F.col("__sha")).alias("round_trip"))
-
-
-def decoded(ids: Column, model: Model) -> Column:
-    """The text of an array of ids: their bytes in order, without the leading space; ids without a piece have no text."""
-    raw = {i: p.replace(SPACE, " ").encode().hex() for p, _, _, i in model.pieces}
-    if model.byte_ids is not None:
-        raw |= {model.byte_ids + b: f"{b:02x}" for b in range(256)}
-    table = F.split(F.lit(",".join(raw.get(i, "") for i in range(max(raw) + 1))), ",", -1)  # folded to a constant by Spark
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
-    return F.regexp_replace(text, "^ ", "")
 
+def round_trips(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_chars, ids, n_tokens, round_trip) of each text, encoded whole and decoded again.
 
-def decode(encoded: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids), see decoded()."""
-    return encoded.select("doc_id", decoded(F.col("ids"), model).alias("text"))
+    round_trip: the decoded text is the text (with a space for ``▁``); null texts have null.
+    """
+    n = F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long")
+    made = decoded(encode(docs, model), model).select("doc_id", "ids", n.alias("n_tokens"), F.sha2(F.encode("text", "UTF-8"), 256).alias("there"))
+    own = one_row_per_doc(docs, columns=["text"])
+    own = own.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode(F.replace("text", F.lit(SPACE), F.lit(" ")), "UTF-8"), 256).alias("here"))
+    return own.join(made, "doc_id").select("doc_id", "n_chars", "ids", "n_tokens", (F.col("here") == F.col("there")).alias("round_trip"))

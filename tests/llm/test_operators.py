@@ -256,72 +256,78 @@ def test_kneser_ney_on_held_out_text(spark):
 def toy_model():
     pieces = ["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "▁ab", "cc", "▁▁"]
     scores = [-9.0, -3.0, -3.5, -4.0, -5.0, -5.5, -4.5, -6.0, -7.0, -6.5, -20.0]
-    return sentencepiece_lattice.Model([(p, k, s, k + 300) for k, (p, s) in enumerate(zip(pieces, scores, strict=True))], 10, 0, False)
+    return sentencepiece_lattice.Model([(p, s, k + 300) for k, (p, s) in enumerate(zip(pieces, scores, strict=True))], 10, 0)
 
 
-TEXTS = [(0, None), (1, ""), (2, "abc cab  aab"), (3, "abcabc\nbcc"), (4, "aé\U0001f600b"), (5, "abcc" * 40 + " b"), (6, "   "), (7, "\n")]
+LONG_WORDS = [(100 + n, ("abccab" * 40)[: n - 1] + " abc" + "c" * (n % 7)) for n in (2, 47, 62, 63, 64, 65, 66, 130)]
+TEXTS = [(0, None), (1, ""), (2, "abc cab  aab"), (3, "abcabc\nbcc"), (4, "aé\U0001f600b"), (5, "abcc" * 40 + " b"), (6, "   "), (7, "\n"), (8, "ab▁c"), (9, "  a \n\n b  "), *LONG_WORDS]
 
 
-def test_viterbi_lattice(spark):
-    model = toy_model()
-    df = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(df, model).collect()}
-    table = {p: (r, s, i) for p, r, s, i in model.pieces}
-    lowest = min(s for _, s, _ in table.values()) - 10
-
-    def best(w):
-        paths = [(0.0, [])] + [None] * len(w)
-        for e in range(1, len(w) + 1):
-            for k in range(1, min(3, e) + 1):
-                p = table.get(w[e - k : e])
-                s = p[1] if p else lowest if k == 1 else None
-                if s is not None and (paths[e] is None or paths[e - k][0] + s >= paths[e][0] - 1e-12):
-                    ids = [p[2]] if p else [10 + b for b in w[e - k : e].encode()]
-                    paths[e] = (paths[e - k][0] + s, paths[e - k][1] + ids)
-        return paths[-1][0]
-
-    score = {i: s for _, (_, s, i) in table.items()}
-    for d, t in TEXTS:
-        if not t:
-            assert got[d] == (None if t is None else [])
-            continue
-        total = sum(score.get(i, 0) for i in got[d]) + sum(lowest for c in t.replace(" ", "▁") if c not in table)
-        assert total == pytest.approx(sum(best(w) for w in re.findall(sentencepiece_lattice.WORDS, "▁" + t.replace(" ", "▁"))))
-    back = {r.doc_id: r.text for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(df, model), model).collect()}
-    assert back == dict(TEXTS)
+def best_ids(model, word):
+    """Brute force: the best path of a word; of equal ones that with the longest last piece."""
+    table = {p: (s, i) for p, s, i in model.pieces}
+    paths = [(0.0, [])]
+    for e in range(1, len(word) + 1):
+        ways = []
+        for k in range(1, min(max(map(len, table)), e) + 1):
+            part = word[e - k : e]
+            if part in table:
+                ways.append((paths[e - k][0] + table[part][0], k, [table[part][1]]))
+            elif k == 1:
+                ways.append((paths[e - k][0] + model.unknown_score, k, [model.byte_ids + b for b in part.encode()]))
+        v, k, ids = max(ways)
+        paths.append((v, paths[e - k][1] + ids))
+    return paths[-1][1]
 
 
-@pytest.mark.parametrize("bpe", [True, False])
-def test_words_at_the_border_of_the_bits(spark, bpe):
+@pytest.mark.parametrize("hot", [1_000_000, 3, 0])
+def test_viterbi_lattice(spark, empty, hot):
     model = toy_model()
-    model.bpe = bpe
-    table = {p: (r, s, i) for p, r, s, i in model.pieces}
-    texts = [(n, ("abccab" * 12)[: n - 1]) for n in (60, 61, 62, 63, 64)]  # a word is the leading space and the text
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(df, model).collect()}
-    assert got == {n: sentencepiece_lattice.fold_long("▁" + t, model, table) for n, t in texts}
+    df = spark.createDataFrame([*TEXTS, TEXTS[2], (None, "a")], "doc_id long, text string").withColumn("ids", F.lit(1))
+    encoded = sentencepiece_lattice.encode(df, model, hot)
+    got = {r.doc_id: r.ids for r in encoded.collect()}
+    split = lambda t: re.findall("▁*[^▁\n]+|▁+|\n", "▁" + t.replace(" ", "▁")) if t else []
+    assert got == {d: None if t is None else [i for w in split(t) for i in best_ids(model, w)] for d, t in TEXTS}
+    back = {r.doc_id: r.text for r in sentencepiece_lattice.decode(encoded, model).collect()}
+    assert back == {d: t and t.replace("▁", " ") for d, t in TEXTS}
+    assert sentencepiece_lattice.encode(empty, model).count() == 0
+
+
+def test_many_words_share_their_prefixes(spark):
+    """Thousands of words in tries of many blocks, by brute force."""
+    model, r = toy_model(), random.Random(9)
+    texts = [(d, " ".join("".join(r.choice("abcé") for _ in range(r.randint(1, 9))) for _ in range(300))) for d in range(20)]
+    got = {x.doc_id: x.ids for x in sentencepiece_lattice.encode(spark.createDataFrame(texts, "doc_id long, text string"), model, 100).collect()}
+    assert got == {d: [i for w in t.split(" ") for i in best_ids(model, "▁" + w)] for d, t in texts}
 
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def test_bpe_lattice_is_the_librarys(spark, docs, rows, empty):
+def test_lattice_is_the_librarys(spark, docs, rows, empty):
+    """The same pieces and scores, marked as a unigram model, give the same ids in the sentencepiece library."""
     sentencepiece = pytest.importorskip("sentencepiece")
     try:
         model = sentencepiece_lattice.load_model(PIECES)
     except OSError:
         pytest.skip("no vocabulary file")
-    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    encoded = sentencepiece_lattice.encode(docs, model)
-    got = {r.doc_id: r.ids for r in encoded.collect()}
-    assert got == {d: None if t is None else sp.encode(t) for d, t, *_ in rows}
-    assert {r.doc_id: r.text for r in sentencepiece_lattice.decode(encoded, model).collect()} == {d: t for d, t, *_ in rows}
-    digest = {r.doc_id: r for r in sentencepiece_lattice.encoding_digest(docs, model).collect()}
-    assert {d: r.n_tokens for d, r in digest.items()} == {d: len(i or []) for d, i in got.items()}
-    assert sentencepiece_lattice.encode(empty, model).count() == 0
-    table = {p: (r, s, i) for p, r, s, i in model.pieces}
-    for t in ("abc" * 50, "x" * 200, "日本語" * 30, "antidisestablishmentarianism" * 5):
-        assert sentencepiece_lattice.fold_long("▁" + t, model, table) == sp.encode(t)
+    proto = sentencepiece.SentencePieceProcessor(model_file=PIECES).serialized_model_proto()
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto + b"\x12\x02\x18\x01")  # trainer_spec.model_type = UNIGRAM
+    more = [(500 + i, t) for i, t in enumerate(("abc" * 50, "x" * 200, "日本語" * 30, "antidisestablishmentarianism" * 5, "def f(x):\n    return x  # 1,234.5\n"))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    encoded = sentencepiece_lattice.encode(df, model)
+    texts = {d: t for d, t, *_ in [*rows, *more]}
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {d: None if t is None else sp.encode(t) for d, t in texts.items()}
+    assert {r.doc_id: r.text for r in sentencepiece_lattice.decode(encoded, model).collect()} == texts
+    trips = {r.doc_id: r for r in sentencepiece_lattice.round_trips(df, model).collect()}
+    assert {d: (r.n_chars, r.n_tokens, r.round_trip) for d, r in trips.items()} == {d: (t if t is None else len(t), 0 if t is None else len(sp.encode(t)), None if t is None else True) for d, t in texts.items()}
+    assert all(trips[d].ids == (t if t is None else sp.encode(t)) for d, t in texts.items())
+
+
+def test_ids_without_a_piece_have_no_text(spark):
+    model = toy_model()
+    df = spark.createDataFrame([(1, [300, 301, 9999, -5, 302]), (2, [10 + 0xC3, 10 + 0xA9]), (3, None), (4, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in sentencepiece_lattice.decode(df, model).collect()} == {1: "ab", 2: "é", 3: None, 4: ""}
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -428,18 +434,3 @@ def test_single_long_lines_go(spark):
     assert got == want
     plain = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, long=None).collect()}
     assert plain == {1: 0, 2: 0, 3: 0, 4: 0, 5: 3, 6: 0, 7: 0}
-
-
-def test_digest_is_of_whole_ids_and_decoded_text(spark):
-    """op3's row of a document says what its whole id sequence is and what it decodes to."""
-    model = toy_model()
-    df = spark.createDataFrame([*TEXTS, (8, "ab▁c"), (9, "abc cab  aab")], "doc_id long, text string")
-    got = {r.doc_id: r for r in sentencepiece_lattice.encoding_digest(df, model).collect()}
-    ids = sentencepiece_lattice.encode(df, model)
-    want = {r.doc_id: r for r in ids.select("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("h")).collect()}
-    for d, t in [*TEXTS, (8, "ab▁c"), (9, "abc cab  aab")]:
-        back = None if t is None else t.replace("▁", " ")
-        assert got[d].decoded_sha256 == (None if t is None else hashlib.sha256(back.encode()).hexdigest())
-        assert got[d].round_trip == (None if t is None else back == t)
-        assert (got[d].n_tokens, got[d].ids_digest) == ((0, None) if t is None else (want[d].n, want[d].h))
-    assert got[2].ids_digest == got[9].ids_digest != got[3].ids_digest
