@@ -272,19 +272,20 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def numbered(sent):
-    """mapInArrow function: (doc_id, text) to (doc_id, packed numbers, the words without a number in order)."""
+    """mapInArrow function: (text, other columns) to (packed numbers, the words without a number in order, other columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in pieces(batch.column(1)):
+            for first, last, data, offsets in pieces(batch.column(0)):
                 starts, ends = _spans(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
                 numbers = sent.value.find(_hashes(data, starts, ends))
                 cuts, raw = np.searchsorted(starts, offsets), data.tobytes()
                 other = np.flatnonzero(numbers < 0)
                 seldom = pa.array([raw[a:z] for a, z in zip(starts[other].tolist(), ends[other].tolist(), strict=True)], pa.binary()).cast(pa.string())
                 lists = pa.ListArray.from_arrays(np.searchsorted(other, cuts).astype(np.int32), seldom)
-                packed = [_packed(numbers[a:z]) if ok else None for a, z, ok in zip(cuts[:-1], cuts[1:], batch.column(1).slice(first, last - first).is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(packed, pa.binary()), lists], names=["doc_id", "numbers", "seldom"])
+                packed = [_packed(numbers[a:z]) if ok else None for a, z, ok in zip(cuts[:-1], cuts[1:], batch.column(0).slice(first, last - first).is_valid().to_pylist(), strict=True)]
+                others = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), lists, *others.columns[1:]], names=["numbers", "seldom", *others.schema.names[1:]])
 
     return run
 
@@ -296,13 +297,13 @@ def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def put_together(sent):
-    """mapInArrow function: (doc_id, numbers, rest: array of (place, ids)) to (doc_id, ids)."""
+    """mapInArrow function: (numbers, rest: array of (place, ids), other columns) to (ids, other columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, words = [], 0
             for i in range(batch.num_rows):
-                blob = batch.column(1)[i].as_py()
+                blob = batch.column(0)[i].as_py()
                 held.append(_unpacked(blob) if blob is not None else None)
                 words += len(held[-1]) if blob is not None else 0
                 if words >= CHUNK or i == batch.num_rows - 1:
@@ -313,7 +314,7 @@ def put_together(sent):
         own = sent.value
         sizes = np.array([0 if x is None else len(x) for x in held])
         numbers = np.concatenate([x for x in held if x is not None] or [np.zeros(0, np.int64)])
-        rest = part.column(2).fill_null([]) if part.column(2).null_count else part.column(2)
+        rest = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
         places = rest.flatten()
         order = np.lexsort((places.field("place").to_numpy(), np.repeat(np.arange(len(held)), np.array(pc.list_value_length(rest)))))
         ids = places.field("ids")
@@ -326,26 +327,34 @@ def put_together(sent):
         out = _gathered(np.concatenate((own.ids, ids.values.to_numpy())), starts, lengths)
         cuts = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
         lists = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(out.astype(np.int32)), mask=pa.array([x is None for x in held]))
-        return pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([lists, *part.columns[2:]], names=["ids", *part.schema.names[2:]])
 
     return run
 
 
 def encode(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; null texts have null."""
-    spark = docs.sparkSession
-    texts = one_row_per_doc(docs, columns=["text"]).select("doc_id", escaped(F.col("text")).alias("text"))
+    texts = one_row_per_doc(docs, columns=["text"])
+    return encode_texts(texts.select(escaped(F.col("text")).alias("text"), "doc_id"), model, hot).select("doc_id", "ids")
+
+
+def encode_texts(texts: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
+    """(ids, doc_id and other columns) from (escaped text, doc_id and other columns); ids are made last and never shuffled."""
+    spark = texts.sparkSession
+    others = texts.schema[1:]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     table = materialize(encode_words(words_of(texts), model), "word-ids")
     release(spark)
     often = (F.col("n") >= hot_count(table, hot=hot)) & (F.octet_length("word") <= HOT_BYTES)
     sent = spark.sparkContext.broadcast(Frequent(table.filter(often).toArrow()))
-    numbers = materialize(texts.mapInArrow(numbered(sent), "doc_id long, numbers binary, seldom array<string>"), "numbers")
+    numbers = materialize(texts.mapInArrow(numbered(sent), f"numbers binary, seldom array<string>, {columns}"), "numbers")
     asked = numbers.select("doc_id", F.posexplode("seldom").alias("place", "word"))
     rest = asked.join(table.filter(~often).select("word", "ids"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
     rest = materialize(rest, "seldom-ids")
     drop_tables(table)
     release(spark)
-    return numbers.select("doc_id", "numbers").join(rest, "doc_id", "left").select("doc_id", "numbers", "rest").mapInArrow(put_together(sent), "doc_id long, ids array<int>")
+    both = numbers.drop("seldom").join(rest, "doc_id", "left")
+    return both.select("numbers", "rest", *[f.name for f in others]).mapInArrow(put_together(sent), f"ids array<int>, {columns}")
 
 
 class Bytes:
@@ -361,29 +370,30 @@ class Bytes:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def decoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches (ids, other columns) with the texts as a last column."""
         for batch in batches:
-            step = max(1, CHUNK * 4 * batch.num_rows // max(1, len(batch.column(1).values)))
+            step = max(1, CHUNK * 4 * batch.num_rows // max(1, len(batch.column(0).values)))
             for first in range(0, batch.num_rows, step):
                 part = batch.slice(first, step)
-                ids = part.column(1).flatten().to_numpy()
+                ids = part.column(0).flatten().to_numpy()
                 ids = np.where((ids >= 0) & (ids < len(self.sizes)), ids, len(self.sizes) - 1)
                 out = _gathered(self.pool, self.starts[ids], self.sizes[ids])
-                counts = np.array(pc.fill_null(pc.list_value_length(part.column(1)), 0), np.int64)
+                counts = np.array(pc.fill_null(pc.list_value_length(part.column(0)), 0), np.int64)
                 cuts = np.concatenate(([0], np.cumsum(self.sizes[ids])))[np.concatenate(([0], np.cumsum(counts)))]
-                starts, raw = cuts[:-1].copy(), out.tobytes()
-                texts = [raw[a + (raw[a : a + 1] == b" ") * (a < z) : z] if ok else None for a, z, ok in zip(starts.tolist(), cuts[1:].tolist(), part.column(1).is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=["doc_id", "ids", "text"])
+                starts, raw = cuts[:-1], out.tobytes()
+                texts = [raw[a + (raw[a : a + 1] == b" ") * (a < z) : z] if ok else None for a, z, ok in zip(starts.tolist(), cuts[1:].tolist(), part.column(0).is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
 
-def decoded(encoded: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, ids, text) from (doc_id, ids)."""
-    out = encoded.select("doc_id", "ids").mapInArrow(Bytes(model).decoded, "doc_id long, ids array<int>, text binary")
-    return out.withColumn("text", F.make_valid_utf8(F.col("text").cast("string")))
+def with_text(encoded: DataFrame, model: Model) -> DataFrame:
+    """(ids, other columns) with a last column ``decoded``: the bytes of the ids in order, without the leading space."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(Bytes(model).decoded, f"{columns}, decoded binary").withColumn("decoded", F.make_valid_utf8(F.col("decoded").cast("string")))
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): the bytes of the ids in order, without the leading space."""
-    return decoded(encoded, model).select("doc_id", "text")
+    """(doc_id, text) from (doc_id, ids)."""
+    return with_text(encoded.select("ids", "doc_id"), model).select("doc_id", F.col("decoded").alias("text"))
 
 
 def round_trips(docs: DataFrame, model: Model) -> DataFrame:
@@ -391,8 +401,8 @@ def round_trips(docs: DataFrame, model: Model) -> DataFrame:
 
     round_trip: the decoded text is the text (with a space for ``▁``); null texts have null.
     """
+    sha = lambda c: F.unhex(F.sha2(F.encode(c, "UTF-8"), 256))
+    docs = one_row_per_doc(docs, columns=["text"])
+    texts = docs.select(escaped(F.col("text")).alias("text"), "doc_id", F.length("text").cast("long").alias("n_chars"), sha(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("sha"))
     n = F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long")
-    made = decoded(encode(docs, model), model).select("doc_id", "ids", n.alias("n_tokens"), F.sha2(F.encode("text", "UTF-8"), 256).alias("there"))
-    own = one_row_per_doc(docs, columns=["text"])
-    own = own.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode(F.replace("text", F.lit(SPACE), F.lit(" ")), "UTF-8"), 256).alias("here"))
-    return own.join(made, "doc_id").select("doc_id", "n_chars", "ids", "n_tokens", (F.col("here") == F.col("there")).alias("round_trip"))
+    return with_text(encode_texts(texts, model), model).select("doc_id", "n_chars", "ids", n.alias("n_tokens"), (F.col("sha") == sha(F.col("decoded"))).alias("round_trip"))
