@@ -271,21 +271,38 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
 
 
+def _numbered(sent, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, starts and ends of words, their numbers, cuts between texts) of runs of escaped texts."""
+    for first, last, data, offsets in pieces(texts):
+        starts, ends = _spans(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
+        yield first, last, data, starts, ends, sent.value.find(_hashes(data, starts, ends)), np.searchsorted(starts, offsets)
+
+
+def seldom(sent):
+    """mapInArrow function: (text, doc_id) to (doc_id, place, word) for each word without a number; places count these from 0 in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, starts, ends, numbers, cuts in _numbered(sent, batch.column(0)):
+                at, raw = np.flatnonzero(numbers < 0), data.tobytes()
+                before = np.searchsorted(at, cuts)
+                owner = np.repeat(np.arange(last - first), np.diff(before))
+                words = pa.array([raw[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                place = pa.array((np.arange(len(at)) - before[owner]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first).take(pa.array(owner)), place, words], names=["doc_id", "place", "word"])
+
+    return run
+
+
 def numbered(sent):
-    """mapInArrow function: (text, other columns) to (packed numbers, the words without a number in order, other columns)."""
+    """mapInArrow function: (text, other columns) to (packed numbers, other columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in pieces(batch.column(0)):
-                starts, ends = _spans(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
-                numbers = sent.value.find(_hashes(data, starts, ends))
-                cuts, raw = np.searchsorted(starts, offsets), data.tobytes()
-                other = np.flatnonzero(numbers < 0)
-                seldom = pa.array([raw[a:z] for a, z in zip(starts[other].tolist(), ends[other].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                lists = pa.ListArray.from_arrays(np.searchsorted(other, cuts).astype(np.int32), seldom)
-                packed = [_packed(numbers[a:z]) if ok else None for a, z, ok in zip(cuts[:-1], cuts[1:], batch.column(0).slice(first, last - first).is_valid().to_pylist(), strict=True)]
-                others = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), lists, *others.columns[1:]], names=["numbers", "seldom", *others.schema.names[1:]])
+            for first, last, _, _, _, numbers, cuts in _numbered(sent, batch.column(0)):
+                part = batch.slice(first, last - first)
+                packed = [_packed(numbers[a:z]) if ok else None for a, z, ok in zip(cuts[:-1], cuts[1:], part.column(0).is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *part.columns[1:]], names=["numbers", *part.schema.names[1:]])
 
     return run
 
@@ -335,26 +352,36 @@ def put_together(sent):
 def encode(docs: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text; null texts have null."""
     texts = one_row_per_doc(docs, columns=["text"])
-    return encode_texts(texts.select(escaped(F.col("text")).alias("text"), "doc_id"), model, hot).select("doc_id", "ids")
+    return encode_texts(texts.select(escaped(F.col("text")).alias("text"), "doc_id"), model, hot=hot).select("doc_id", "ids")
+
 
+def _columns(fields) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
-def encode_texts(texts: DataFrame, model: Model, hot: int = HOT) -> DataFrame:
-    """(ids, doc_id and other columns) from (escaped text, doc_id and other columns); ids are made last and never shuffled."""
+
+def encode_texts(texts: DataFrame, model: Model, hot: int = HOT, text: bool = False) -> DataFrame:
+    """(ids, doc_id and other columns) from (escaped text, doc_id and other columns), and on demand the decoded text.
+
+    Ids are made last and never shuffled: texts move as numbers, two bytes a word or so.
+    """
     spark = texts.sparkSession
     others = texts.schema[1:]
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     table = materialize(encode_words(words_of(texts), model), "word-ids")
     release(spark)
     often = (F.col("n") >= hot_count(table, hot=hot)) & (F.octet_length("word") <= HOT_BYTES)
     sent = spark.sparkContext.broadcast(Frequent(table.filter(often).toArrow()))
-    numbers = materialize(texts.mapInArrow(numbered(sent), f"numbers binary, seldom array<string>, {columns}"), "numbers")
-    asked = numbers.select("doc_id", F.posexplode("seldom").alias("place", "word"))
+    asked = texts.select("text", "doc_id").mapInArrow(seldom(sent), f"{_columns([texts.schema['doc_id']])}, place int, word string")
     rest = asked.join(table.filter(~often).select("word", "ids"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
     rest = materialize(rest, "seldom-ids")
     drop_tables(table)
     release(spark)
-    both = numbers.drop("seldom").join(rest, "doc_id", "left")
-    return both.select("numbers", "rest", *[f.name for f in others]).mapInArrow(put_together(sent), f"ids array<int>, {columns}")
+    numbers = texts.mapInArrow(numbered(sent), f"numbers binary, {_columns(others)}")
+    both = numbers.join(rest, "doc_id", "left").select("numbers", "rest", *[f.name for f in others])
+    whole, names = put_together(sent), f"ids array<int>, {_columns(others)}"
+    if not text:
+        return both.mapInArrow(whole, names)
+    back = Bytes(model).decoded
+    return both.mapInArrow(lambda batches: back(whole(batches)), f"{names}, decoded binary").withColumn("decoded", valid(F.col("decoded")))
 
 
 class Bytes:
@@ -385,15 +412,14 @@ class Bytes:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
 
-def with_text(encoded: DataFrame, model: Model) -> DataFrame:
-    """(ids, other columns) with a last column ``decoded``: the bytes of the ids in order, without the leading space."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(Bytes(model).decoded, f"{columns}, decoded binary").withColumn("decoded", F.make_valid_utf8(F.col("decoded").cast("string")))
+def valid(raw: Column) -> Column:
+    return F.make_valid_utf8(raw.cast("string"))
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids)."""
-    return with_text(encoded.select("ids", "doc_id"), model).select("doc_id", F.col("decoded").alias("text"))
+    """(doc_id, text) from (doc_id, ids): the bytes of the ids in order, without the leading space."""
+    rows = encoded.select("ids", "doc_id")
+    return rows.mapInArrow(Bytes(model).decoded, f"{_columns(rows.schema)}, decoded binary").select("doc_id", valid(F.col("decoded")).alias("text"))
 
 
 def round_trips(docs: DataFrame, model: Model) -> DataFrame:
@@ -405,4 +431,4 @@ def round_trips(docs: DataFrame, model: Model) -> DataFrame:
     docs = one_row_per_doc(docs, columns=["text"])
     texts = docs.select(escaped(F.col("text")).alias("text"), "doc_id", F.length("text").cast("long").alias("n_chars"), sha(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("sha"))
     n = F.coalesce(F.when(F.col("ids").isNotNull(), F.size("ids")), F.lit(0)).cast("long")
-    return with_text(encode_texts(texts, model), model).select("doc_id", "n_chars", "ids", n.alias("n_tokens"), (F.col("sha") == sha(F.col("decoded"))).alias("round_trip"))
+    return encode_texts(texts, model, text=True).select("doc_id", "n_chars", "ids", n.alias("n_tokens"), (F.col("sha") == sha(F.col("decoded"))).alias("round_trip"))
