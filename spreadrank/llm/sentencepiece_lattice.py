@@ -242,12 +242,22 @@ class Frequent:
         order = np.argsort(-table["n"].to_numpy(), kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
         word, ids = (table[c].chunk(0) if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("word", "ids"))
-        _, _, data, offsets = next(pieces(pa.array(["".join(word.to_pylist())])), (0, 0, np.zeros(0, np.uint8), None))
+        data = np.frombuffer("".join(word.to_pylist()).encode(), np.uint8)
         size = np.array(pc.binary_length(word), np.int64)
         ends = np.cumsum(size)
         hashes = _hashes(data, ends - size, ends)
         self.numbers = np.argsort(hashes).astype(np.int32)
-        self.hashes, self.offsets, self.ids = hashes[self.numbers], ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+        self.hashes, self.ids, self.sizes = hashes[self.numbers], ids.values.to_numpy(), np.diff(ids.offsets.to_numpy())
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __getstate__(self) -> dict:
+        """What is sent: small numbers in few bytes, starts left out."""
+        return {"numbers": self.numbers, "hashes": self.hashes, "ids": narrow(self.ids), "sizes": narrow(self.sizes)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.sizes = self.sizes.astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's number, -1 for other words."""
@@ -257,6 +267,11 @@ class Frequent:
         return np.where(self.hashes[at] == hashes, self.numbers[at], np.int32(-1))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers as a small blob: their low bytes first."""
     import zstandard
@@ -339,7 +354,7 @@ def put_together(sent):
         known, at = numbers >= 0, np.maximum(numbers, 0)
         starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         if len(own.hashes):
-            starts, lengths = own.offsets[at], own.offsets[at + 1] - own.offsets[at]
+            starts, lengths = own.starts[at], own.sizes[at]
         starts[~known], lengths[~known] = from_ + len(own.ids), to - from_
         out = _gathered(np.concatenate((own.ids, ids.values.to_numpy())), starts, lengths)
         cuts = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
