@@ -101,9 +101,11 @@ def drop_tables(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of steps that have been materialized.
 
-    The cleaner works when the driver collects its garbage, which may be long after; events still under way hold the last query.
+    The cleaner works when the driver collects its garbage, which may be long after. Listeners hold the last query until they
+    get events of another one.
     """
     gc.collect()
+    spark.sql("select 1").collect()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
