@@ -1,39 +1,128 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity against quantiles by language.
 
-The model is one of characters within words: n-grams of ``order`` characters run over each word from ``order - 1`` start marks to
-one end mark, so a word's score depends on the word alone. Words are ``[^\\x20\\x09-\\x0D]``-runs, cut after each WORD characters.
-Counts cover all trusted text, scores all words of all texts.
+The model is one of characters: a text is its words ``[^\\x20\\x09-\\x0D]+`` with one space after each, and n-grams of ``order``
+characters run over all of it, across words, from ``order - 1`` start marks on. (U+0000 and the start mark count as U+0001.)
 
-1. One aggregate over all words gives (language, word, occurrences, occurrences in trusted texts).
-2. Counts of the n-grams of the words (weighted by trusted occurrences) and continuation counts of the shorter n-grams
+1. Trusted documents (labelled good, not toxic) are dealt by hash: one in HELD_OUT is held out for thresholds, the others train.
+2. Every n-gram of the corpus is counted, with its occurrences in training text. Continuation counts of the shorter n-grams
    are tables dealt by hash of language and n-gram; discounts D1, D2, D3+ come from their counts of counts (0.1 at
    least, so that nothing has probability 0). Joins order by order give ln p(character | context) for each n-gram of the corpus.
-3. Scores of different words, and from them those of documents: see ``word_table``.
-4. A document is rejected if its ln perplexity is above the ``quantile`` of the trusted documents of its language plus
-   ``margin``.
+3. The most frequent n-grams, HOT at most, are sent to every task with their scores, and texts are scored in place. For
+   texts that have other n-grams these are joined on the n-gram's hash, brought to the text, and it is scored whole.
+4. A document's ln perplexity is the mean of -ln p; ``worst`` is the largest mean over ``window`` characters in a row, where a few words
+   of another kind show that a long text averages away. A document is rejected if either is above the ``quantile`` of its
+   language's held-out documents.
 
-Texts without words, and languages without trusted text, have no perplexity or threshold (null) and are kept. A null
+Texts without words, and languages without held-out text, have no perplexity or threshold (null) and are kept. A null
 language is a language of its own. Repeated rows and null ids as in ``common``; of repeated labels, one that trusts counts.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spreadrank.llm.bytes_np import IS_SPACE, STEP, U, mix, pieces
 from spreadrank.llm.common import drop_tables, materialize, one_row_per_doc, release
-from spreadrank.llm.word_table import per_document
+from spreadrank.llm.word_table import hot_count
+
+START = 2
+#: One trusted document in so many sets the thresholds.
+HELD_OUT = 5
+#: The most n-grams that are sent to every task, 16 bytes each.
+HOT = 2_000_000
+#: Rows up to which a table of (id) or of (language, thresholds) is sent to every task; larger ones are joined by shuffle.
+SENT_ROWS = 100_000
+#: Bytes of text scored at once.
+RUN = 4 << 20
+#: Characters of a stretch, and the part of held-out documents that each threshold keeps.
+WINDOW, QUANTILE = 8, 0.99
+
+
+def streams(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, characters, offsets) of runs of texts: start marks, then words with a space after each; empty without words."""
+    for first, last, data, offsets in pieces(texts, RUN):
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+        at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+        chars[(chars == 0) | (chars == START)] = 1
+        space = IS_SPACE[np.minimum(chars, 255)]
+        head = np.zeros(len(chars) + 1, bool)
+        head[at] = True
+        after_word = np.concatenate(([False], ~space[:-1])) & ~head[:-1] if len(chars) else space
+        keep = np.flatnonzero(~space | after_word)
+        owner = np.searchsorted(at, keep, "right") - 1
+        size = np.bincount(owner, minlength=last - first)
+        kept = np.where(space[keep], np.uint32(32), chars[keep])
+        ends = np.cumsum(size)
+        open_ = (size > 0) & (kept[np.maximum(ends - 1, 0)] != 32) if len(kept) else np.zeros(last - first, bool)
+        length = np.where(size > 0, size + open_ + order - 1, 0)
+        out = np.concatenate(([0], np.cumsum(length)))
+        stream = np.full(out[-1], START, np.uint32)
+        stream[(out[:-1] + order - 1 - ends + size)[owner] + np.arange(len(keep))] = kept
+        stream[out[1:][open_] - 1] = 32
+        yield first, last, stream, out
+
+
+def _language(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+
+
+def _seeds(langs: pa.Array) -> np.ndarray:
+    """A number for each text's language."""
+    known = langs.dictionary_encode()
+    return np.array([_language(x) for x in known.dictionary.to_pylist()], np.uint64)[known.indices.to_numpy()] if len(langs) else np.zeros(0, np.uint64)
+
+
+def gram_keys(stream: np.ndarray, last: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the n-grams that end at the places ``last``, with their language."""
+    with np.errstate(over="ignore"):
+        hashed, total = mix((stream.astype(np.uint64) + U(1)) * STEP), seeds.copy()
+        for i in range(order):
+            total = (total + hashed[last - (order - 1 - i)]) * STEP
+            total ^= total >> U(29)
+        return mix(total)
+
+
+def _scored(stream: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, texts) of the characters that are scored."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.flatnonzero(np.arange(len(stream)) - offsets[:-1][owner] >= order - 1)
+    return place, owner[place]
+
+
+def counted(order: int):
+    """mapInArrow function: (text, lang, trains) to (lang, gram, n, c): n-grams with their occurrences, and those in training text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trains, seeds = batch.column(2).to_numpy(zero_copy_only=False), _seeds(batch.column(1))
+            for first, _, stream, offsets in streams(batch.column(0), order):
+                place, owner = _scored(stream, offsets, order)
+                _, at, inverse, n = np.unique(gram_keys(stream, place, seeds[first:][owner], order), return_index=True, return_inverse=True, return_counts=True)
+                c = np.bincount(inverse, weights=trains[first:][owner], minlength=len(n)).astype(np.int64)
+                grams = stream[place[at][:, None] - np.arange(order - 1, -1, -1)].astype(np.uint32)
+                text = pa.array(np.ascontiguousarray(grams).view(f"<U{order}").ravel()) if len(at) else pa.array([], pa.string())
+                lang = batch.column(1).take(pa.array(first + owner[at]))
+                yield pa.RecordBatch.from_arrays([lang, text, pa.array(n.astype(np.int64)), pa.array(c)], names=["lang", "gram", "n", "c"])
+
+    return run
+
 
-WORD = 40
-START, END = "\x02", "\x03"
-#: Rows up to which a table of n-gram scores (16 bytes each) is sent to every task; larger ones are joined by shuffle.
-SENT_ROWS = 2_000_000
+def keyed(order: int):
+    """mapInArrow function: (lang, gram, n, lp) to (key, n, lp)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stream = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32)
+            keys = gram_keys(stream, np.arange(order - 1, len(stream), order), _seeds(batch.column(0)), order)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2), batch.column(3)], names=["key", "n", "lp"])
 
-def grams(word: Column, order: int) -> Column:
-    """The n-grams of a word of WORD characters at most."""
-    padded = F.concat(F.lit(START * (order - 1)), word, F.lit(END))
-    return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substr(padded, i, F.lit(order)))
+    return run
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -72,39 +161,116 @@ def trusted_docs(labels: DataFrame) -> DataFrame:
     return labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 4) -> DataFrame:
-    """(doc_id, lang, trusted, n_scored, log_ppl): characters (with ends of words) that were scored, ln perplexity of each."""
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(HELD_OUT)) == 0
+
+
+class Scores:
+    """Scores sent to every task, by sorted key."""
+
+    def __init__(self, keys: np.ndarray, lp: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.lp = keys[order], lp[order]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """ln p of each key, NaN where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.lp[at], np.nan)
+
+
+def worst_mean(x: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
+    """The largest mean of ``window`` numbers in a row of each part; of all its numbers if there are fewer; NaN if none."""
+    size = np.diff(offsets)
+    sums = np.concatenate(([0.0], np.cumsum(x)))
+    out = np.where(size > 0, (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(size, 1), np.nan)
+    long = np.flatnonzero(size >= window)
+    if len(long):
+        starts = np.arange(max(0, len(x) - window + 1))
+        means = (sums[starts + window] - sums[starts]) / window
+        low, high = offsets[long], offsets[long + 1] - window + 1
+        out[long] = np.maximum.reduceat(np.append(means, -np.inf), np.stack((low, high), 1).ravel())[::2]
+    return out
+
+
+def scored(sent, order: int, window: int):
+    """mapInArrow function: (text, lang, extra: array of (key, lp) or null, doc_id) to (doc_id, n_scored, log_ppl, worst, missing).
+
+    missing: the keys of n-grams that have no score yet; such a text's log_ppl and worst are null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds, extra = _seeds(batch.column(1)), batch.column(2)
+            for first, last, stream, offsets in streams(batch.column(0), order):
+                place, owner = _scored(stream, offsets, order)
+                keys, inverse = np.unique(gram_keys(stream, place, seeds[first:][owner], order), return_inverse=True)
+                lp = sent.value.find(keys)
+                more = extra.slice(first, last - first).flatten()
+                if len(more):
+                    own = Scores(more.field("key").to_numpy().view(np.uint64), more.field("lp").to_numpy())
+                    lp = np.where(np.isnan(lp), own.find(keys), lp)
+                x = -lp[inverse]
+                cuts = np.searchsorted(owner, np.arange(last - first + 1))
+                none = np.isnan(x)
+                open_ = np.unique(owner[none])
+                whole = np.ones(last - first, bool)
+                whole[open_] = False
+                lost = [np.unique(keys[inverse[a:z][none[a:z]]]).view(np.int64) for a, z in zip(cuts[open_], cuts[open_ + 1], strict=True)]
+                sizes = np.zeros(last - first, np.int64)
+                sizes[open_] = [len(k) for k in lost]
+                missing = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(np.concatenate(lost) if lost else np.zeros(0, np.int64)))
+                x, size = np.where(none, 0.0, x), np.diff(cuts)
+                means = worst_mean(x, cuts, max(len(x), 1) + 1)
+                value = lambda v: pa.array(v, mask=~whole | (size == 0))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(first, last - first), pa.array(size.astype(np.int64)), value(means), value(worst_mean(x, cuts, window)), missing], names=["doc_id", "n_scored", "log_ppl", "worst", "missing"])
+
+    return run
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """(doc_id, lang, trusted, n_scored, log_ppl, worst): characters that were scored, mean and worst -ln p of them."""
     spark = docs.sparkSession
-    docs = one_row_per_doc(docs, columns=["text", "lang"]).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    docs = one_row_per_doc(docs, columns=["text", "lang"]).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.make_valid_utf8("text").alias("text"))
     ids = trusted.select("doc_id", F.lit(True).alias("trusted"))
-    if ids.count() <= SENT_ROWS:
-        ids = F.broadcast(ids)
-    marked = docs.join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    words = lambda df: df.withColumn("word", F.explode(F.regexp_extract_all("text", F.lit(rf"[^\x20\x09-\x0D]{{1,{WORD}}}"), F.lit(0)))).drop("text")
-    table = materialize(words(marked.drop("doc_id")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("trusted").cast("long")).alias("k")), "words")
+    ids = F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
+    trains = docs.join(ids, "doc_id", "left").select("text", "lang", (F.coalesce("trusted", F.lit(False)) & ~held_out(F.col("doc_id"))).alias("trains"))
+    counts = trains.mapInArrow(counted(order), "lang string, gram string, n long, c long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    counts = materialize(counts, "counts")
     release(spark)
-    parts = table.select("lang", "word", "n", "k", F.explode(grams(F.col("word"), order)).alias("gram"))
-    counts = materialize(parts.groupBy("lang", "gram").agg(F.sum("k").alias("c")), "counts")
-    scores = materialize(gram_scores(counts, order).select(F.xxhash64("lang", "gram").alias("key"), "lp"), "scores")
-    sent = F.broadcast(scores) if scores.count() <= SENT_ROWS else scores
-    per_word = table.select("lang", "word", "n", F.explode(F.transform(grams(F.col("word"), order), lambda g: F.xxhash64("lang", g))).alias("key")).join(sent, "key")
-    lists = materialize(per_word.groupBy("lang", "word").agg(F.first("n").alias("n"), F.sum("lp").alias("lp"), F.count(F.lit(1)).alias("m")), "word-scores")
+    scores = gram_scores(counts, order).join(counts.select("lang", "gram", "n"), ["lang", "gram"]).select("lang", "gram", "n", "lp").mapInArrow(keyed(order), "key long, n long, lp double")
+    scores = materialize(scores, "scores")
+    drop_tables(counts)
     release(spark)
-    sums = per_document(words(docs), lists, ["lang", "word"], lambda: [F.sum("lp").alias("lp"), F.sum("m").alias("n_scored")])
-    out = marked.drop("text").join(sums, "doc_id", "left").select("doc_id", "lang", "trusted", F.coalesce("n_scored", F.lit(0)).cast("long").alias("n_scored"), F.try_divide(-F.col("lp"), F.col("n_scored")).alias("log_ppl"))
-    out = materialize(out, "perplexities")
-    drop_tables(table, counts, scores, lists)
-    return out
+    often = F.col("n") >= hot_count(scores, hot=hot)
+    top = scores.filter(often).select("key", "lp").toArrow()
+    sent = spark.sparkContext.broadcast(Scores(top["key"].to_numpy().view(np.uint64), top["lp"].to_numpy()))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_scored long, log_ppl double, worst double, missing array<long>"
+    none = F.lit(None).cast("array<struct<key:long,lp:double>>").alias("extra")
+    first = materialize(docs.select("text", "lang", none, "doc_id").mapInArrow(scored(sent, order, window), schema), "scored")
+    asked = first.filter(F.size("missing") > 0).select("doc_id", F.explode("missing").alias("key"))
+    extra = asked.join(scores.filter(~often).select("key", "lp"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lp")).alias("extra"))
+    second = docs.join(extra, "doc_id").select("text", "lang", "extra", "doc_id").mapInArrow(scored(sent, order, window), schema)
+    out = materialize(first.filter(F.size("missing") == 0).unionByName(second).drop("missing"), "perplexities")
+    drop_tables(scores, first)
+    release(spark)
+    marked = docs.select("doc_id", "lang").join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return marked.join(out, "doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, margin: float = 0.3) -> DataFrame:
-    """perplexities() with each language's threshold and ``kept``."""
-    df = perplexities(docs, trusted_docs(labels), order)
-    limits = df.filter("trusted and log_ppl is not null").groupBy("lang").agg((F.percentile_approx("log_ppl", quantile, 10_000) + F.lit(margin)).alias("threshold"))
-    return df.join(limits, "lang", "left").withColumn("kept", F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True)))
+def classify(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = QUANTILE, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """perplexities() with each language's thresholds and ``kept``."""
+    df = perplexities(docs, trusted_docs(labels), order, window, hot)
+    own = df.filter(F.col("trusted") & held_out(F.col("doc_id")) & F.col("log_ppl").isNotNull())
+    at = lambda c: F.percentile_approx(c, quantile, 10_000)
+    limits = materialize(own.groupBy("lang").agg(at("log_ppl").alias("threshold"), at("worst").alias("worst_threshold")), "limits")
+    limits = F.broadcast(limits) if limits.count() <= SENT_ROWS else limits
+    good = (F.col("log_ppl") <= F.col("threshold")) & (F.col("worst") <= F.col("worst_threshold"))
+    return df.join(limits, "lang", "left").withColumn("kept", F.coalesce(good, F.lit(True)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.99, margin: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = QUANTILE, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
     docs = one_row_per_doc(docs)
-    return docs.join(classify(docs, labels, order, quantile, margin).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    return docs.join(classify(docs, labels, order, quantile, window).filter("kept").select("doc_id"), "doc_id", "left_semi")

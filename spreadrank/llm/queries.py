@@ -113,7 +113,7 @@ OP6 = "select doc_id, source, strlen(text)::bigint n_bytes, sha256(text) text_sh
 
 def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return df.select("doc_id", "lang", "n_scored", F.round("log_ppl", 6).alias("log_ppl"), F.round("threshold", 6).alias("threshold"), "kept")
+    return df.select("doc_id", "lang", "n_scored", *[F.round(c, 6).alias(c) for c in ("log_ppl", "threshold", "worst", "worst_threshold")], "kept")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
