@@ -39,7 +39,7 @@ HOT = 2_000_000
 #: Rows up to which a table of (id) or of (language, thresholds) is sent to every task; larger ones are joined by shuffle.
 SENT_ROWS = 100_000
 #: Bytes of text scored at once.
-RUN = 4 << 20
+RUN = 2 << 20
 #: Characters of a stretch, and the part of held-out documents that each threshold keeps.
 WINDOW, QUANTILE = 8, 0.99
 
@@ -249,10 +249,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, window: in
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_scored long, log_ppl double, worst double, missing array<long>"
     none = F.lit(None).cast("array<struct<key:long,lp:double>>").alias("extra")
     first = materialize(docs.select("text", "lang", none, "doc_id").mapInArrow(scored(sent, order, window), schema), "scored")
+    done = first.filter(F.size("missing") == 0)
     asked = first.filter(F.size("missing") > 0).select("doc_id", F.explode("missing").alias("key"))
-    extra = asked.join(scores.filter(~often).select("key", "lp"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lp")).alias("extra"))
-    second = docs.join(extra, "doc_id").select("text", "lang", "extra", "doc_id").mapInArrow(scored(sent, order, window), schema)
-    out = materialize(first.filter(F.size("missing") == 0).unionByName(second).drop("missing"), "perplexities")
+    if asked.take(1):  # else texts would move to meet nothing
+        extra = asked.join(scores.filter(~often).select("key", "lp"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lp")).alias("extra"))
+        done = done.unionByName(docs.join(extra, "doc_id").select("text", "lang", "extra", "doc_id").mapInArrow(scored(sent, order, window), schema))
+    out = materialize(done.drop("missing"), "perplexities")
     drop_tables(scores, first)
     release(spark)
     marked = docs.select("doc_id", "lang").join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
