@@ -3,7 +3,8 @@
 Tokens are words ``[^\\x20\\x09-\\x0D]+``, A-Z folded, without the marks ``EDGE`` at either end. Texts and test items are joined
 on shared seeds (``min_match`` tokens); around a pair's seeds, running Karp-Rabin greedy string tiling marks the longest
 matches of unmarked tokens first, round by round. An item leaks into a text if tiles cover
-``min_cover`` of its tokens or more. Items of under ``min_match`` tokens are matched whole.
+``min_cover`` of its tokens or more. Items of under ``min_match`` tokens, which any text may have by chance, leak only into texts
+of the same tokens.
 
 The benchmark is taken in blocks of ``block`` items (hashed by id), each small enough to be sent to every task; every text
 meets every block, texts are never shuffled, and a hot passage is work within each text's own task. Matches below
@@ -29,17 +30,20 @@ _EDGE[list(EDGE.encode())] = True
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of texts; a mark at the end or start of a word is read as a space (marks inside words stay)."""
-    space = (data == 32) | (data >= 9) & (data <= 13)
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    gap, mark = space.copy(), _EDGE[data]
+    """Token hashes of texts; marks at the end or start of a word, however many, are read as spaces (marks inside words stay)."""
+    space, mark = (data == 32) | (data >= 9) & (data <= 13), _EDGE[data]
     if mark.any():
-        for _ in range(3):  # up to three marks in a row
-            after = np.concatenate((gap[1:], [True])) | edge[1:]
-            before = np.concatenate(([True], gap[:-1])) | edge[:-1]
-            gap = gap | mark & (after | before)
-    return word_hashes(np.where(gap, np.uint8(32), data), offsets)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        first = np.flatnonzero(mark & (np.concatenate(([True], ~mark[:-1])) | edge[:-1]))
+        last = np.flatnonzero(mark & (np.concatenate((~mark[1:], [True])) | edge[1:]))
+        before = edge[first] | np.concatenate(([True], space))[first]
+        after = edge[last + 1] | np.concatenate((space, [True]))[last + 1]
+        run = np.zeros(len(data) + 1, np.int64)  # a run of marks that touches a gap is one
+        np.add.at(run, first[before | after], 1)
+        np.add.at(run, last[before | after] + 1, -1)
+        space = space | (np.cumsum(run[:-1]) > 0)
+    return word_hashes(np.where(space, np.uint8(32), data), offsets)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -106,6 +110,8 @@ class Seeds:
         """(item, covered part) for each item that shares a seed with the text."""
         places: dict[int, list[tuple[int, int]]] = {}
         for n, (keys, own) in self.tables.items():
+            if n < self.min_match and n != len(text):
+                continue
             h = grams(text, n)
             low = np.searchsorted(keys, h, "left")
             for j in np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h):
