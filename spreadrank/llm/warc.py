@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadrank.llm.common import materialize, one_row_per_doc
@@ -58,7 +58,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         line("WARC-Type", F.when(again, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">"))),
         F.coalesce(line("WARC-Target-URI", clean), F.lit("")),
-        F.coalesce(line("WARC-Date", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), F.lit("")),
+        F.coalesce(line("WARC-Date", _utc(F.col("ts"))), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1(F.encode("body", "UTF-8")))),
         F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -68,6 +68,16 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     df.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _utc(ts: Column) -> Column:
+    """The time in UTC, whatever the session's time zone."""
+    micros = F.unix_micros(ts)
+    day = F.floor(micros / F.lit(86_400_000_000)).cast("long")
+    rest = micros - day * 86_400_000_000
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    clock = F.concat(two(rest / 3_600_000_000), F.lit(":"), two(rest / 60_000_000 % 60), F.lit(":"), two(rest / 1_000_000 % 60), F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("Z"))
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), clock)
+
+
 def parse_records(stream) -> Iterator[tuple[dict, bytes]]:
     """(headers, block) of each record of an open, decompressed WARC file, by Content-Length."""
     while first := stream.readline():

@@ -182,6 +182,50 @@ def test_tiling_is_greedy():
     assert decontaminate.tile(a, b[:2], 3) == []
 
 
+def cover(item, text, min_match):
+    """Greedy string tiling by brute force: the part of the item's tokens in tiles."""
+    used_a, used_b, covered = [False] * len(item), [False] * len(text), 0
+    while True:
+        best = (min_match - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                k = 0
+                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not used_a[i + k] and not used_b[j + k]:
+                    k += 1
+                if k > best[0]:
+                    best = (k, i, j)
+        k, i, j = best
+        if k < min_match:
+            return covered / len(item)
+        used_a[i : i + k] = used_b[j : j + k] = [True] * k
+        covered += k
+
+
+def test_tiles_of_reordered_passages(spark):
+    """Coverage of random texts that hold items in pieces and out of order, by brute force; marks of any number are cut."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice(SYLLABLES) for _ in range(2))
+    items = [[word() for _ in range(r.randint(12, 40))] for _ in range(6)]
+    texts = []
+    for d in range(30):
+        item, parts = r.choice(items), [[word() for _ in range(r.randint(0, 12))]]
+        cuts = sorted(r.sample(range(1, len(item)), r.randint(0, 3)))
+        blocks = [item[a:z] for a, z in zip([0, *cuts], [*cuts, len(item)])]
+        r.shuffle(blocks)
+        for b in blocks[: r.randint(1, len(blocks))]:
+            parts += [b, [word() for _ in range(r.randint(0, 3))]]
+        texts.append((d, [w for p in parts for w in p]))
+    marked = lambda ws: " ".join(r.choice(["", "(", '"("']) + w.capitalize() + r.choice(["", ",", '...").', "!" * 9]) for w in ws)
+    docs = spark.createDataFrame([(d, marked(ws)) for d, ws in texts] + [(90, "well yes indeed"), (91, "Yes!"), (92, "no yes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, marked(ws)) for i, ws in enumerate(items)] + [(50, "yes")], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.find_leaks(docs, bench).collect()}
+    for d, ws in texts:
+        parts = {i: cover(item, ws, 5) for i, item in enumerate(items)}
+        assert list(got[d]["items"]) == [i for i, c in parts.items() if c >= 0.5]
+        assert got[d].coverage == pytest.approx(max(parts.values()))
+    assert [list(got[d]["items"]) for d in (90, 91, 92)] == [[], [50], []]
+
+
 def test_decontamination(spark, docs, rows, empty):
     first, second = rows[0][1].split("\n")[1:3]
     w = first.split(" ") + second.split(" ")
@@ -390,6 +434,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.merge_runs(warc.read_warc(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_dates_are_utc_in_any_session(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([(1, "http://a.example/", "x")], "page_id long, url string, html string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for k, seconds in enumerate((1_700_000_000, 1_699_163_999, -1)):
+            warc.write_warc(df.withColumn("ts", F.timestamp_seconds(F.lit(seconds))), str(tmp_path / f"z{k}"))
+            assert [r.t for r in warc.read_warc(spark, str(tmp_path / f"z{k}")).select(F.unix_seconds("ts").alias("t")).collect()] == [seconds]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in (0, 1, 2, 3, 7, 8):
@@ -424,6 +480,24 @@ def test_racing_commits_are_both_kept(spark, tmp_path):
     assert b.read().count() == 12 and b.manifest()["version"] == 3
 
 
+def test_vacuum_leaves_shards_under_way(spark, tmp_path):
+    store = sharding.ShardStore(spark, (tmp_path / "v").as_uri(), fan_in=2)
+    store.append(spark.range(3))
+    commit = store._commit
+    store._commit = lambda change: (store.vacuum(), commit(change))[1]  # another process cleans up just before the commit
+    store.append(spark.range(4))
+    assert store.read().count() == 7
+    store._commit = lambda change: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        store.append(spark.range(5))
+    store._commit = commit
+    assert store.vacuum() == 0 and store.vacuum(abandoned=-60) == 1 and store.read().count() == 7
+    other = sharding.ShardStore(spark, store.root, fan_in=2)
+    store._commit = lambda change: (setattr(store, "_commit", commit), other.compact(), commit(change))[2]
+    assert store.compact() == 0 and store.read().count() == 7 and len(store.manifest()["shards"]) == 1
+    assert store.vacuum() == 2
+
+
 def test_pii(spark, empty):
     texts = [
         (1, "Mr. John Smith wrote to Mrs Anna Smith, j.smith@corp.example or J.Smith@corp.example; card 4111 1111 1111 1111, ip 8.8.8.8."),
@@ -448,6 +522,31 @@ def test_pii(spark, empty):
     assert pii.replace_pii(empty, "key").count() == 0
 
 
+def test_gender_coreference_and_types(spark):
+    """Gender goes with the mention, later words of a name go too, types come from what was found, names of columns don't matter."""
+    texts = [
+        (1, "Mr. John Miller came. Later John Miller spoke, and Miller's cat sat by Johnson. A miller too."),
+        (2, "Mrs. Smith met Mr. Smith; password=Summer token=123-45-6789, 123-45-6789"),
+        (3, "Miller and Smith have no title here"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("m", "types", "whole", "__map", "n_entities", "raw")})
+    out = {r.doc_id: r for r in pii.replace_pii(df, "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+nor) (\w+) came\. Later (\w+) (\w+) spoke, and (\w+)'s cat sat by Johnson\. A miller too\.", out[1].text)
+    assert m and (m[1], m[2], m[2]) == (m[3], m[4], m[5])
+    assert "John Miller" not in out[1].text and "Johnson. A miller too." in out[1].text
+    m = re.fullmatch(r"Mrs\. (\w+nia) met Mr\. (\w+nor); password=(\w{6}) token=(\d{3}-\d\d-\d{4}), (\d{3}-\d\d-\d{4})", out[2].text)
+    assert m and m[3] != "Summer" and m[4] != "123-45-6789" != m[5]
+    assert list(out[2].entity_types) == ["name", "password", "ssn"] and out[2].n_entities == 5
+    assert out[3].text == texts[2][1] and out[3].n_entities == 0 and out[3].m == out[3].raw == 7
+
+
+def test_more_addresses_than_a_space_gives(spark):
+    """A surrogate that clashes is drawn again from a larger space, and nothing real is hit."""
+    rows = [("ip", f"10.{i // 250}.{i % 250}.{j}", False) for i in range(400) for j in range(20)]
+    got = {r.value: r.surrogate for r in pii.surrogate_table(spark.createDataFrame(rows, "type string, value string, female boolean"), "k").collect()}
+    assert len(set(got.values())) == len(rows) == len(got) and not set(got) & set(got.values())
+
+
 def test_surrogates_stay_apart(spark):
     """More phone numbers of one form than can be drawn without a clash."""
     rows = [(i, f"x {d}{e}@q.example y") for i, (d, e) in enumerate((a, b) for a in "abcdefghij" for b in "0123456789")] + [(1000 + i, f"ip 10.0.0.{i} z") for i in range(200)]
