@@ -15,6 +15,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +106,7 @@ def release(spark: SparkSession) -> None:
     get events of another one.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sql("select 1").collect()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()

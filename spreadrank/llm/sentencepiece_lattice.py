@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.bytes_np import BASE, BYTE, STEP, U, mix, pieces, powers
+from spreadrank.llm.bytes_np import BASE, BYTE, STEP, U, mix, pieces, powers, texts
 from spreadrank.llm.common import drop_tables, materialize, one_row_per_doc, release
 from spreadrank.llm.word_table import hot_count
 
@@ -40,7 +40,7 @@ WORDS = r" *[^ \n]+| +|\n"
 #: Words in a trie; longer words than WIDE characters are blocks of their own.
 BLOCK, WIDE = 48, 64
 #: The most words that are sent to every task, of HOT_BYTES each at most.
-HOT, HOT_BYTES = 1_000_000, 64
+HOT, HOT_BYTES = 1 << 19, 64
 #: Words put together at once.
 CHUNK = 200_000
 
@@ -239,25 +239,18 @@ class Frequent:
     """The words sent to every task: sorted hashes, each word's number (by falling count) and the ids of each number."""
 
     def __init__(self, table: pa.Table):
+        hashes, pools = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for batch in table.select(["word", "ids"]).to_batches(max_chunksize=20_000):
+            data, offsets = texts(batch.column(0))
+            hashes.append(_hashes(data, offsets[:-1], offsets[1:]))
+            pools.append(narrow(batch.column(1).flatten().to_numpy()))
+        whole, sizes = np.concatenate(hashes), np.array(pc.list_value_length(table["ids"]), np.int64)
         order = np.argsort(-table["n"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
-        word, ids = (table[c].chunk(0) if table.num_rows else pa.array([], table.schema.field(c).type) for c in ("word", "ids"))
-        data = np.frombuffer("".join(word.to_pylist()).encode(), np.uint8)
-        size = np.array(pc.binary_length(word), np.int64)
-        ends = np.cumsum(size)
-        hashes = _hashes(data, ends - size, ends)
-        self.numbers = np.argsort(hashes).astype(np.int32)
-        self.hashes, self.ids, self.sizes = hashes[self.numbers], ids.values.to_numpy(), np.diff(ids.offsets.to_numpy())
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def __getstate__(self) -> dict:
-        """What is sent: small numbers in few bytes, starts left out."""
-        return {"numbers": self.numbers, "hashes": self.hashes, "ids": narrow(self.ids), "sizes": narrow(self.sizes)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.sizes = self.sizes.astype(np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        by_hash = np.argsort(whole)
+        self.hashes, self.numbers, self.ids = whole[by_hash], rank[by_hash], narrow(np.concatenate(pools))
+        self.sizes, self.starts = narrow(sizes[order]), narrow((np.cumsum(sizes) - sizes)[order])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's number, -1 for other words."""
@@ -354,7 +347,7 @@ def put_together(sent):
         known, at = numbers >= 0, np.maximum(numbers, 0)
         starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         if len(own.hashes):
-            starts, lengths = own.starts[at], own.sizes[at]
+            starts, lengths = own.starts[at].astype(np.int64), own.sizes[at].astype(np.int64)
         starts[~known], lengths[~known] = from_ + len(own.ids), to - from_
         out = _gathered(np.concatenate((own.ids, ids.values.to_numpy())), starts, lengths)
         cuts = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
