@@ -56,6 +56,14 @@ def kappa_pairs(m: int = SAMPLES, source_law: str = "kappa") -> str:
     return f"{mass}, {src}, {z}"
 
 
+#: Samples by the VC bound at eps 0.2 and delta 0.1, from the diameter of all sources.
+VC = "vc as (select floor(0.5 / pow(0.2::double, 2) * (log2(greatest(max(d), 1)) + 1 + ln(20)))::bigint k from dist)"
+
+
+def drawn_by_vc() -> str:
+    return kappa_pairs(0).replace("range(0) r(sample)", "(select unnest(range((select k from vc))) sample) r")
+
+
 FRACTIONS = "fr as (select sample, sh.v, f from kp join sh using (s, z))"
 #: Drawn paths: intervals of predecessors by id, then back from z.
 WALK = f"pr as (select t.s, t.v w, q.v p, sum(q.c) over (partition by t.s, t.v order by q.v rows unbounded preceding) hi, q.c, t.c whole, q.d from sg t join e on e.v = t.v join sg q on q.s = t.s and q.v = e.u and q.d = t.d - 1), bk(sample, s, v, d) as (select sample, kp.s, z, d from kp join sg on sg.s = kp.s and sg.v = z union all select sample, bk.s, p, pr.d from bk join pr on pr.s = bk.s and pr.w = bk.v where pr.d > 0 and {u('sample', 'pr.d + 50')} * whole >= hi - c and {u('sample', 'pr.d + 50')} * whole < hi), wk as (select sample, bk.v, bk.d from bk join kp using (sample) where bk.v <> z)"
@@ -70,16 +78,19 @@ def _bounds() -> str:
     hist, m, d, dia = {0: 10, 1: 60, 2: 25, 3: 5}, 100, 0.1, 8
     mean = sum(k * n for k, n in hist.items()) / m
     var = sum(n * (k - mean) ** 2 for k, n in hist.items()) / (m - 1)
+    c = "(ln(100) / 1000)"
+    empirical = f"(0.02 + sqrt(4 * 0.01 * {c} / 25))"
+    complexity = f"({empirical} + {c} + sqrt(2 * {c} * {empirical} + {c} * {c}))"
     rows = {
         "vc": "floor(0.5 / (0.05 * 0.05) * (log2(9) + 1 + ln(20)))",
         "first": "floor((1 + 0.4 + sqrt(1.8) * ln(60)) / (4 * 0.0025))",
         "bootstrap": "floor(greatest(floor(greatest(ln(10) / 0.01, 100)), 18 * ln(10)))",
         "top1": "0.1 + ln(80) / 100 + sqrt(2 * ln(80) / 100 * 0.1 + pow(ln(80) / 100, 2))",
-        "mcera": "0.127404316",
-        "samples_at": "597.986405443",
+        "mcera": f"2 * {complexity} + sqrt(2 * {c} * (0.01 + {c} + sqrt({c} * {c} + 2 * {c} * 0.01) + 4 * {complexity}))",
+        "samples_at": "ln(2 * 3 / (0.1 * 0.05)) / (0.09 * ((1 + 0.05 / 0.09) * ln(1 + 0.05 / 0.09) - 0.05 / 0.09))",
         "bernstein": "sqrt(2 * 0.01 * ln(4000) / 1000) + 7 * ln(4000) / 2997",
         "mean_length": f"least({mean} + {dia - 2} * ln(10) / {m} + sqrt(2 * {(dia - 2) / m} * ln(10) * {dia} + pow({(dia - 2) / m} * ln(10), 2)), {mean} + 7.0 / 3 * {dia - 2} * ln({2 / d}) / {m} + sqrt(2 * {var} * ln({2 / d}) / {m}), {dia - 2})",
-        "next": "120",
+        "next": "100 * 1.2",
     }
     return "select name, round(value::double, 6) as value from (" + " union all ".join(f"select '{k}' as name, ({v})::double as value" for k, v in rows.items()) + ")"
 
@@ -175,6 +186,7 @@ def oracles() -> dict[str, str]:
         "bernstein_errors": f"{whole()}, {kappa_pairs()}, {FRACTIONS}, va as (select vx.v, (coalesce(sum(f * f), 0) - pow(coalesce(sum(f), 0), 2) / {SAMPLES}) / {SAMPLES - 1} k from vx left join fr using (v) group by 1) select round(max(sqrt(2 * k * ln(40.0 * n) / {SAMPLES}) + 7 * ln(40.0 * n) / (3 * {SAMPLES - 1})), 9) error from va, (select count(*) n from vx)",
         "peeling_partitions": f"{whole()}, {kappa_pairs()}, {FRACTIONS} select v, trunc(ln(case when k > 0 then least(1 / k, {SAMPLES}) else {SAMPLES} end) / ln(2) + 1)::bigint part from (select vx.v, coalesce(sum(f * f), 0) / {SAMPLES} k from vx left join fr using (v) group by 1)",
         "rademacher_sums": f"{whole()}, {kappa_pairs()}, {FRACTIONS} select v, trial::bigint trial, round(sum(f * {SIGNS}), 9) t from fr, range(5) r(trial) group by 1, 2",
+        "estimate_fixed_vc": f"{whole(shares=False)}, {VC}, {drawn_by_vc()}, {WALK} select vx.v, round(coalesce(sum(f), 0) / (select k from vc), 9) pc, (select k from vc) samples from vx left join (select v, 1.0::double f from wk) r using (v) group by 1",
         "bounds_table": _bounds(),
         "sup_deviation": f"with {SCORES} select round(max(abs(ex.pc - es.pc)), 9) sd from ex join es using (v)",
         "mean_squared_error": f"with {SCORES} select round(avg(pow(ex.pc - es.pc, 2)), 12) mse from ex join es using (v)",

@@ -556,12 +556,11 @@ def distance_report(spark, sf):
 
 
 def _folder(spark, name):
-    import tempfile
     import uuid
 
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spreadrank-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    from spreadrank.functions.lineage import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query

@@ -83,13 +83,14 @@ def progressive_mcera(graph: Graph, states: DataFrame, eps: float, delta: float,
     parts = cut(peeling(graph, sums, tau, base))
     top, wide = sums.agg(F.coalesce(F.max("t"), F.lit(0.0)), F.coalesce(F.max("t2"), F.lit(0.0))).first()
 
-    def limit(top: float, wide: float, count: int, share_of_delta: float, length: DataFrame) -> float:
+    def limit(top: float, wide: float, count: int, share_of_delta: float, whole: float, length: DataFrame) -> float:
+        """The bound on samples at delta ``whole``, from estimates that hold at ``share_of_delta`` each."""
         histogram = {int(r["k"]): r["n"] for r in length.collect()}  # a row for each length
         mean = B.mean_length_bound(share_of_delta, across, histogram, count)
-        return B.samples_bound(max(B.top1_bound(top / count, share_of_delta, count), 1e-12), B.top1_bound(wide / count, share_of_delta, count), max(mean, 1e-12), eps, share_of_delta * 4 if count == tau else share_of_delta)
+        return B.samples_bound(max(B.top1_bound(top / count, share_of_delta, count), 1e-12), B.top1_bound(wide / count, share_of_delta, count), max(mean, 1e-12), eps, whole)
 
     lengths = lambda rows: rows.groupBy("sample").agg(F.round(F.sum("f")).cast("int").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    most = limit(top, wide, tau, delta / 8, lengths(rows)) or B.vc_bound(eps, delta, across)
+    most = limit(top, wide, tau, delta / 8, delta / 2, lengths(rows)) or B.vc_bound(eps, delta, across)
     if bootstrap_only:
         return Progress(_scores(graph, sums, tau), tau, math.inf, most)
     size, done, sums, signed, hist, xi, iteration = float(max(1, B.first_stop(eps, delta, most, wide / tau + 1 / tau))), 0, None, None, None, math.inf, 1
@@ -106,7 +107,7 @@ def progressive_mcera(graph: Graph, states: DataFrame, eps: float, delta: float,
         if xi <= eps:
             break
         top, wide = sums.agg(F.coalesce(F.max("t"), F.lit(0.0)), F.coalesce(F.max("t2"), F.lit(0.0))).first()
-        most = min(most, limit(top, wide, done, delta / 2**iteration, hist))
+        most = min(most, limit(top, wide, done, delta / 2**iteration, delta / 2**iteration, hist))
         size, iteration = B.next_sample(size), iteration + 1
     return Progress(_scores(graph, sums, done), done, xi, most)
 

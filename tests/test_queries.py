@@ -11,7 +11,7 @@ from spreadrank.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ["edges_directed", "static_graph", "gadget_graph", "kappa_sums", "d_v_sampled", "sigma_counts", "exact_target_pc", "exact_target_pc_directed", "classical_pc", "induced_target_pc", "kappa_pairs", "sampled_paths", "estimate_uniform", "min_h", "correlations", "score_round_trip"]
+SOME = ["edges_directed", "static_graph", "gadget_graph", "kappa_sums", "d_v_sampled", "sigma_counts", "exact_target_pc", "exact_target_pc_directed", "classical_pc", "induced_target_pc", "kappa_pairs", "sampled_paths", "estimate_uniform", "estimate_fixed_vc", "bounds_table", "min_h", "correlations", "score_round_trip"]
 
 
 def plain(x):
