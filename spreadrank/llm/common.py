@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spreadrank.functions.lineage import shared_folder
+
 #: Separators of words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -38,14 +39,8 @@ def bound(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="spreadrank-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    """The folder that driver and executors share, see ``shared_folder``."""
+    return shared_folder(spark)
 
 
 _made: dict[str, SparkSession] = {}
