@@ -5,6 +5,7 @@ All products stay below 2**62. x -> x**5 permutes the residues of the prime M, a
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +24,14 @@ def uniform(sample: Column, stream: Column | int) -> Column:
     return (_fifth((h + k * 7919 + 1) % M) / F.lit(float(M))).cast("double")
 
 
+def uniform_array(sample: np.ndarray, stream: np.ndarray) -> np.ndarray:
+    """The same of arrays."""
+    k = stream.astype(np.int64)
+    fifth = lambda x: x * x % M * (x * x % M) % M * x % M
+    h = fifth((sample.astype(np.int64) * 48271 + k * 1299709 + 12345) % M)
+    return fifth((h + k * 7919 + 1) % M) / float(M)
+
+
 def uniform_sql(sample: str, stream: str) -> str:
     """The same in SQL."""
     fifth = lambda x: f"(((({x})*({x})%{M})*(({x})*({x})%{M})%{M})*({x})%{M})"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadrank.functions.lineage import cut
+from spreadrank.operators import blocks
 from spreadrank.operators.graph import Graph, induced
 from spreadrank.operators.states import kappa_sums, kappa_total, ramp
 from spreadrank.operators.traverse import accumulate, levels, union_all
@@ -20,6 +22,15 @@ def _dependencies(graph: Graph, sources: DataFrame, weigh, batches: int) -> Data
     return union_all([accumulate(graph, levels(graph, part), weigh) for part in _batches(sources, batches)])
 
 
+def _state_array(g: blocks.Compact, states: DataFrame) -> np.ndarray:
+    """States by position; NaN where a vertex has none. ``states`` are of vertices of the graph only, which is bounded."""
+    rows = states.select("v", F.col("x").cast("double").alias("x")).filter("v is not null and x is not null").toArrow()
+    out = np.full(len(g.ids), np.nan)
+    at, known = g.places(rows["v"].to_numpy())
+    out[at[known]] = rows["x"].to_numpy()[known]
+    return out
+
+
 def _with_all(graph: Graph, sums: DataFrame, value) -> DataFrame:
     return graph.vertices.join(sums, "v", "left").select("v", F.coalesce(value, F.lit(0.0)).alias("pc"))
 
@@ -27,7 +38,12 @@ def _with_all(graph: Graph, sums: DataFrame, value) -> DataFrame:
 def target_unnormalised(graph: Graph, states: DataFrame, batches: int = 1) -> DataFrame:
     """(v, pc): sum over s != v != z of the share of shortest s-z paths through v, times ramp(x_s, x_z)."""
     graph = graph.pinned()
-    x = cut(states.select("v", "x"))
+    g = graph.compact
+    if g is not None:
+        x = _state_array(g, states.join(graph.vertices, "v", "left_semi"))
+        sources = np.flatnonzero(x > np.nanmin(x)) if (~np.isnan(x)).any() else np.zeros(0, np.int64)
+        return _with_all(graph, blocks.dependency_sums(graph.edges.sparkSession, g, sources, x=x), F.col("t"))
+    x = cut(states.select("v", "x").filter("x is not null"))
     low = x.agg(F.min("x").alias("low"))  # a source no higher than all others adds nothing
     sources = graph.arcs.select(F.col("src").alias("v")).distinct().join(x, "v").crossJoin(F.broadcast(low)).filter("x > low").select(F.col("v").alias("s"))
     xs, xv = x.withColumnsRenamed({"v": "s", "x": "xs"}), x.withColumnRenamed("x", "xv")
@@ -54,7 +70,13 @@ def classical(graph: Graph, states: DataFrame, normalization: str = "none", batc
     own = cut(states.join(graph.vertices, "v", "left_semi").select("v", "x"))
     ones = lambda level: level.select("s", "v", "d", "sigma", "delta", F.lit(1.0).alias("r"))
     sources = own.filter("x > 0").select(F.col("v").alias("s"))
-    sums = _dependencies(graph, sources, ones, batches).join(own.withColumnsRenamed({"v": "s", "x": "xs"}), "s").groupBy("v").agg(F.sum(F.col("delta") * F.col("xs")).alias("t"))
+    g = graph.compact
+    if g is not None:
+        x = _state_array(g, own)
+        at = np.flatnonzero(x > 0)
+        sums = blocks.dependency_sums(own.sparkSession, g, at, weight=x[at])
+    else:
+        sums = _dependencies(graph, sources, ones, batches).join(own.withColumnsRenamed({"v": "s", "x": "xs"}), "s").groupBy("v").agg(F.sum(F.col("delta") * F.col("xs")).alias("t"))
     whole = own.agg(F.sum("x").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
     by = {"none": F.lit(1.0), "n-2": F.col("n") - 2, "n(n-1)": F.col("n") * (F.col("n") - 1)}[normalization]
     raw = own.join(sums, "v", "left").crossJoin(F.broadcast(whole))
@@ -64,6 +86,8 @@ def classical(graph: Graph, states: DataFrame, normalization: str = "none", batc
 def betweenness(graph: Graph, batches: int = 1) -> DataFrame:
     """(v, pc): sum over ordered pairs of the share of shortest paths through v; what target() falls back to for equal states."""
     graph = graph.pinned()
+    if graph.compact is not None:
+        return _with_all(graph, blocks.dependency_sums(graph.edges.sparkSession, graph.compact, np.arange(len(graph.compact.ids))), F.col("t"))
     ones = lambda level: level.select("s", "v", "d", "sigma", "delta", F.lit(1.0).alias("r"))
     sums = _dependencies(graph, graph.vertices.withColumnRenamed("v", "s"), ones, batches).groupBy("v").agg(F.sum("delta").alias("t"))
     return _with_all(graph, sums, F.col("t"))

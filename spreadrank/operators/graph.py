@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spreadrank.functions.draws import uniform
 from spreadrank.functions.lineage import cut
+from spreadrank.operators.blocks import Compact, compact
 
 
 @dataclass
@@ -39,6 +40,11 @@ class Graph:
     def vertices(self) -> DataFrame:
         return self.edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
 
+    @cached_property
+    def compact(self) -> Compact | None:
+        """The graph as arrays for tasks, if it is small enough."""
+        return compact(self)
+
     def pinned(self) -> Graph:
         """The same graph with its edges checkpointed, for loops over it."""
         return Graph(cut(self.edges), self.directed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadrank.functions.draws import uniform
 from spreadrank.functions.lineage import cut
+from spreadrank.operators import blocks
 from spreadrank.operators.graph import Graph, dense_ids
 from spreadrank.operators.states import outgoing_mass, ramp, ranked
 from spreadrank.operators.traverse import draw_paths, paths_to_targets
@@ -97,6 +98,8 @@ def uniform_source_pairs(states: DataFrame, samples: int, first: int = 0) -> Dat
 
 def pair_fractions(graph: Graph, pairs: DataFrame) -> DataFrame:
     """(sample, v, f): the share of shortest s-z paths with v inside, for each sample whose z can be reached."""
+    if graph.compact is not None:
+        return blocks.fractions(graph.compact, pairs)
     samples = cut(pairs.filter("s <> z"))
     _, on = paths_to_targets(graph, samples)
     whole = on.join(samples.select("sample", F.col("z").alias("v")), ["sample", "v"]).select("sample", F.col("sigma_s").alias("whole"), F.col("d").alias("length"))

@@ -1,7 +1,8 @@
 """Breadth-first traversal in levels: distances, shortest-path counts, eccentricities and drawn paths.
 
 A level is a table (s, v, d, sigma): the vertices at distance d from each source with their number of shortest paths. The next level is
-one join with the arcs, one aggregate and one anti join with what has been seen; each is checkpointed.
+one join with the arcs, one aggregate and one anti join with what has been seen; each is checkpointed. Graphs that fit in a task are
+searched there instead (``blocks``), with the same rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spreadrank.functions.draws import uniform
 from spreadrank.functions.lineage import cut
+from spreadrank.operators import blocks
 from spreadrank.operators.graph import Graph
 
 
@@ -40,7 +42,10 @@ def levels(graph: Graph, sources: DataFrame, max_distance: int | None = None, ta
 
 def shortest_paths(graph: Graph, sources: DataFrame | None = None) -> DataFrame:
     """(s, v, d, sigma) of all vertices that each source reaches, itself included."""
-    return union_all(levels(graph, sources if sources is not None else graph.vertices.withColumnRenamed("v", "s")))
+    sources = sources if sources is not None else graph.vertices.withColumnRenamed("v", "s")
+    if graph.compact is not None:
+        return blocks.paths_from(graph.compact, sources)
+    return union_all(levels(graph, sources.filter("s is not null")))
 
 
 def nearest_source(graph: Graph, sources: DataFrame, max_distance: int | None = None) -> DataFrame:
@@ -114,7 +119,7 @@ def accumulate(graph: Graph, found: list[DataFrame], weigh) -> DataFrame:
             own = level.withColumn("delta", F.lit(0.0))
         else:
             back = later.join(graph.arcs, later.v == graph.arcs.dst).select("s", F.col("src").alias("p"), ((F.col("r") + F.col("delta")) / F.col("sigma")).alias("part"))
-            sums = back.join(level.select("s", F.col("v").alias("p")), ["s", "p"], "left_semi").groupBy("s", "p").agg(F.sum("part").alias("part"))
+            sums = back.groupBy("s", "p").agg(F.sum("part").alias("part"))  # the join below leaves those of this level
             own = level.join(sums.withColumnRenamed("p", "v"), ["s", "v"], "left").select("s", "v", "d", "sigma", F.coalesce(F.col("sigma") * F.col("part"), F.lit(0.0)).alias("delta"))
         later = cut(weigh(own))
         out.append(later.filter("d > 0").select("s", "v", "delta"))
@@ -142,6 +147,8 @@ def draw_paths(graph: Graph, samples: DataFrame, stream: Column | int = 50) -> D
 
     From z back to s: of the predecessors, in order of id, the one whose run of path counts holds the draw for (sample, distance).
     """
+    if graph.compact is not None:
+        return blocks.drawn(graph.compact, samples, F.lit(stream) if isinstance(stream, int) else stream)
     samples = cut(samples.select("sample", "s", "z"))
     _, on = paths_to_targets(graph, samples)
     on = cut(on)
