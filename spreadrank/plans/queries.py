@@ -20,7 +20,7 @@ from spreadrank.streaming import progressive as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SAMPLES = 500
+SAMPLES = 10_000
 
 
 def query(f: Query) -> Query:
