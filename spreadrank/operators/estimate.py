@@ -9,7 +9,7 @@ from spreadrank.functions.bounds import vc_bound
 from spreadrank.functions.lineage import cut
 from spreadrank.operators.graph import Graph
 from spreadrank.operators.sampling import kappa_pairs, pair_fractions, path_hits, uniform_pairs, weighted
-from spreadrank.operators.states import kappa_total
+from spreadrank.operators.states import kappa_total, per_vertex_normalised
 from spreadrank.operators.traverse import distance_histogram, sample_sources, shortest_paths
 
 
@@ -19,14 +19,16 @@ def _mean(graph: Graph, rows: DataFrame, samples: int, factor=None) -> DataFrame
     return graph.vertices.join(sums, "v", "left").select("v", (F.coalesce("t", F.lit(0.0)) * by / samples).alias("pc"))
 
 
-def estimate_kappa(graph: Graph, states: DataFrame, samples: int, exact_pairs: bool = False, share: float = 0.0, first: int = 0) -> DataFrame:
-    """(v, pc): mean over kappa pairs of a drawn path's hits, or of the exact share of paths with ``exact_pairs``."""
+def estimate_kappa(graph: Graph, states: DataFrame, samples: int, exact_pairs: bool = False, share: float = 0.0, first: int = 0, per_vertex: bool = False) -> DataFrame:
+    """(v, pc): mean over kappa pairs of a drawn path's hits, or of the exact share of paths with ``exact_pairs``. per_vertex: over the ramps of
+    pairs without v, as target_per_vertex() has it."""
     own = states.join(graph.vertices, "v", "left_semi")
     pairs = kappa_pairs(own, samples, first)
-    return _mean(graph, pair_fractions(graph, pairs) if exact_pairs else path_hits(graph, pairs, share), samples)
+    scores = _mean(graph, pair_fractions(graph, pairs) if exact_pairs else path_hits(graph, pairs, share), samples)
+    return per_vertex_normalised(scores, own) if per_vertex else scores
 
 
-def estimate_uniform(graph: Graph, states: DataFrame, samples: int, exact_pairs: bool = False, share: float = 0.0, first: int = 0) -> DataFrame:
+def estimate_uniform(graph: Graph, states: DataFrame, samples: int, exact_pairs: bool = False, share: float = 0.0, first: int = 0, per_vertex: bool = False) -> DataFrame:
     """(v, pc): the same from uniform pairs, each weighed by n (n - 1) ramp / total; pairs without a ramp are not searched."""
     own = states.join(graph.vertices, "v", "left_semi")
     pairs = uniform_pairs(own.select("v"), samples, first)
@@ -34,7 +36,8 @@ def estimate_uniform(graph: Graph, states: DataFrame, samples: int, exact_pairs:
     useful = cut(pairs.join(x.withColumnsRenamed({"v": "s", "x": "xs"}), "s").join(x.withColumnsRenamed({"v": "z", "x": "xz"}), "z").filter("xs > xz").select("sample", "s", "z"))
     rows = weighted(pair_fractions(graph, useful) if exact_pairs else path_hits(graph, useful, share), useful, own, kappa_total(own))
     n = graph.vertices.count()
-    return _mean(graph, rows, samples, F.lit(float(n) * (n - 1)))
+    scores = _mean(graph, rows, samples, F.lit(float(n) * (n - 1)))
+    return per_vertex_normalised(scores, own) if per_vertex else scores
 
 
 def diameter(graph: Graph, sources: int = 0) -> int:

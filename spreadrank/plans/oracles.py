@@ -81,6 +81,8 @@ def _bounds() -> str:
     c = "(ln(100) / 1000)"
     empirical = f"(0.02 + sqrt(4 * 0.01 * {c} / 25))"
     complexity = f"({empirical} + {c} + sqrt(2 * {c} * {empirical} + {c} * {c}))"
+    rate = lambda v, eps: f"({v} * ((1 + {eps} / {v}) * ln(1 + {eps} / {v}) - {eps} / {v}))"
+    at = lambda x, eps: f"(ln(2 * 3 / ({x} * 0.05)) / {rate(f'({x} * (1 - {x}))', eps)})"
     rows = {
         "vc": "floor(0.5 / (0.05 * 0.05) * (log2(9) + 1 + ln(20)))",
         "first": "floor((1 + 0.4 + sqrt(1.8) * ln(60)) / (4 * 0.0025))",
@@ -91,6 +93,9 @@ def _bounds() -> str:
         "bernstein": "sqrt(2 * 0.01 * ln(4000) / 1000) + 7 * ln(4000) / 2997",
         "mean_length": f"least({mean} + {dia - 2} * ln(10) / {m} + sqrt(2 * {(dia - 2) / m} * ln(10) * {dia} + pow({(dia - 2) / m} * ln(10), 2)), {mean} + 7.0 / 3 * {dia - 2} * ln({2 / d}) / {m} + sqrt(2 * {var} * ln({2 / d}) / {m}), {dia - 2})",
         "next": "100 * 1.2",
+        "first_stop": "(select min(n) from range(1, 2501) t(n) where sqrt(2 * 0.1 * ln(20) / n) + ln(20) / n / 3 <= 0.05)",
+        "samples_bound": f"greatest({at('(0.5 - sqrt(0.25 - 0.05))', 0.05)}, {at('(0.999 * (0.5 - sqrt(0.25 - 0.05)))', 0.05)})",
+        "samples_bound_even": f"(with recursive h(k, a, b) as (select 0, 0.2::double, 0.25::double union all select k + 1, case when {rate('((a + b) / 2)', 0.1)} > 0.02 then (a + b) / 2 else a end, case when {rate('((a + b) / 2)', 0.1)} > 0.02 then b else (a + b) / 2 end from h where k < 60), r as (select 0.5 - sqrt(0.25 - b) x from h where k = 60) select greatest({at('x', 0.1)}, {at('(0.999 * x)', 0.1)}) from r)",
     }
     return "select name, round(value::double, 6) as value from (" + " union all ".join(f"select '{k}' as name, ({v})::double as value" for k, v in rows.items()) + ")"
 
@@ -201,6 +206,21 @@ def oracles() -> dict[str, str]:
         "edge_text_round_trip": f"{w} select u src, v dst from e0",
         "score_round_trip": f"with {SCORES} select 'a' run_id, 'exact' algo, v, round(pc, 9) pc from ex union all select 'b', 'shifted', v, round(greatest(pc - 0.05::double, 0), 9) from es",
     }
+    over = lambda rows, factor="1": f"select ms.v, round(coalesce(sum(f), 0) * {factor} / {SAMPLES} * t / m, 9) pc from ms left join ({rows}) r using (v) group by ms.v, t, m"
+    states = KAPPA.format(s="st")
+    out["estimate_kappa_per_vertex"] = f"{whole(shares=False)}, {states}, {kappa_pairs()}, {WALK} {over('select v, 1.0::double f from wk')}"
+    out["estimate_kappa_per_vertex_pair_exact"] = f"{whole()}, {states}, {kappa_pairs()}, {FRACTIONS} {over('select v, f from fr')}"
+    out["estimate_uniform_per_vertex"] = f"{whole(shares=False)}, {states}, {uniform_pairs('st')}, {WEIGHT}, kp as (select sample, s, z from uw), {WALK} {over('select wk.v, wt f from wk join uw using (sample)', NN)}"
+    out["estimate_uniform_per_vertex_pair_exact"] = f"{whole()}, {states}, {uniform_pairs('st')}, {WEIGHT} {over('select sh.v, f * wt f from uw join sh using (s, z)', NN)}"
+    out["labelled_edges_round_trip"] = "with l as (select 'n' || n_nationkey a, 'r' || n_regionkey b, n_nationkey k from nation), f as (select w, min(p) p from (select a w, 2 * k p from l union all select b, 2 * k + 1 from l) group by 1), i as (select w, row_number() over (order by p) - 1 id from f) select p.id src, a, q.id dst, b from l join i p on p.w = a join i q on q.w = b"
+    out["state_text_round_trip"] = f"with {RATES} select row_number() over (order by v) v, round(x, 9) x from xs"
+    out["labelled_state_text"] = f"with {RATES} select 'u' || v as label, round(x, 9) x from xs"
+    out["run_records_round_trip"] = "select o_orderstatus run_id, 'orders' graph, 'count' algo, round(avg(o_totalprice::double) / 1000, 6) time_s, round(avg(o_totalprice::double) / 2000, 6) est_time_s, count(*) sample_size, round(1 / count(*)::double, 6) xi from orders group by 1"
+    out["distance_round_trip"] = " union all ".join(f"select * from ({whole(t, shares=False)} select 'user_purchase_{t}' graph, max(d)::bigint diameter, round(sum(d)::double / count(*) filter (d > 0), 9) avg_distance, 0.0::double time_s from dist)" for t in (60, 100))
+    out["d_v_round_trip"] = f"select 'users' graph, v, d_v, min(d_v) over () min, max(d_v) over () max, count(*) over () n from ({out['d_v']})"
+    graph_d_v = f"({target()} select v, round(t / m, 9) d_v from ms)"
+    out["exact_run_round_trip"] = f"select 'exact' run_id, 'user_purchase_60' graph, 'target' algo, v, pc, d_v, 1.0::double time_s from ({out['exact_target_pc']}) join {graph_d_v} using (v)"
+    out["progressive_run_round_trip"] = f"select 'a' run_id, 2.0::double time_s, 1.0::double est_time_s, {SAMPLES}::bigint sample_size, 0.25::double xi, (select max(d_v) from {graph_d_v}) max_d_v, v, pc from ({out['estimate_kappa']}) union all select 'b', -1, -1, -1, -1, null, null, null"
     for name, directed, by in (("classical_pc", False, "1"), ("classical_pc_inner", True, "((select count(*) from vx) - 2)"), ("classical_pc_pairs", False, NN)):
         out[name] = f"{whole(60, directed)} select st.v, round(coalesce(sum(f * a.x), 0) / ((select sum(x) from st) - st.x) / {by}, {10 if name.endswith('pairs') else 9}) pc from st left join sh using (v) left join st a on a.v = s group by st.v, st.x"
     out["induced_target_pc"] = f"""with recursive {RAW.format(t=60)}, {RATES}, e9 as (select distinct least(a, b) u, greatest(a, b) v from nx where b is not null and a <> b), e0 as (select u, e9.v from e9 join xs a on a.v = u join xs b on b.v = e9.v where a.x > 0 and b.x > 0), e as (select u, v from e0 union all select v, u from e0), vx as (select u v from e0 union select v from e0), st as (select v, x from xs semi join vx using (v)), {PATHS.format(src='vx')}, {SHARES}, {KAPPA.format(s='st')}, q as (select sh.v, sum(f * (a.x - b.x)) q from sh join st a on a.v = s join st b on b.v = z where a.x > b.x group by 1) select vx.v, round(coalesce(q, 0) / t, 9) pc from vx left join q using (v), tot"""

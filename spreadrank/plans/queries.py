@@ -408,6 +408,26 @@ def estimate_uniform_pair_exact(spark, sf):
     return rounded(E.estimate_uniform(*both(spark, sf), SAMPLES, exact_pairs=True))
 
 
+@query
+def estimate_kappa_per_vertex(spark, sf):
+    return rounded(E.estimate_kappa(*both(spark, sf), SAMPLES, per_vertex=True))
+
+
+@query
+def estimate_kappa_per_vertex_pair_exact(spark, sf):
+    return rounded(E.estimate_kappa(*both(spark, sf), SAMPLES, exact_pairs=True, per_vertex=True))
+
+
+@query
+def estimate_uniform_per_vertex(spark, sf):
+    return rounded(E.estimate_uniform(*both(spark, sf), SAMPLES, per_vertex=True))
+
+
+@query
+def estimate_uniform_per_vertex_pair_exact(spark, sf):
+    return rounded(E.estimate_uniform(*both(spark, sf), SAMPLES, exact_pairs=True, per_vertex=True))
+
+
 @query
 def estimate_fixed_vc(spark, sf):
     return rounded(E.estimate_fixed(*both(spark, sf), 0.2, 0.1, diameter_sources=0))
@@ -452,7 +472,7 @@ def rademacher_sums(spark, sf):
 
 @query
 def bounds_table(spark, sf):
-    rows = [("vc", B.vc_bound(0.05, 0.1, 10)), ("first", B.first_sample(0.05, 0.1)), ("bootstrap", B.bootstrap_size(0.01, 0.1, 10)), ("top1", B.top1_bound(0.1, 0.0125, 100)), ("mcera", B.mcera_eps(0.01, 0.02, 0.05, 1000, 25)), ("samples_at", B.samples_at(0.1, 3, 0.05, 0.05)), ("bernstein", B.bernstein_error(0.01, 100, 1000, 0.1)), ("mean_length", B.mean_length_bound(0.1, 8, {0: 10, 1: 60, 2: 25, 3: 5}, 100)), ("next", B.next_sample(100))]
+    rows = [("vc", B.vc_bound(0.05, 0.1, 10)), ("first", B.first_sample(0.05, 0.1)), ("bootstrap", B.bootstrap_size(0.01, 0.1, 10)), ("top1", B.top1_bound(0.1, 0.0125, 100)), ("mcera", B.mcera_eps(0.01, 0.02, 0.05, 1000, 25)), ("samples_at", B.samples_at(0.1, 3, 0.05, 0.05)), ("bernstein", B.bernstein_error(0.01, 100, 1000, 0.1)), ("mean_length", B.mean_length_bound(0.1, 8, {0: 10, 1: 60, 2: 25, 3: 5}, 100)), ("next", B.next_sample(100)), ("first_stop", B.first_stop(0.05, 0.1, 10_000, 0.1)), ("samples_bound", B.samples_bound(0.2, 0.05, 3, 0.05, 0.05)), ("samples_bound_even", B.samples_bound(0.6, 0.3, 3, 0.1, 0.05))]
     return rounded(spark.createDataFrame([(a, float(b)) for a, b in rows], "name string, value double"), 6)
 
 
@@ -582,6 +602,102 @@ def score_round_trip(spark, sf):
     return rounded(readers.read_scores(spark, path).select("run_id", "algo", "v", "pc"))
 
 
+@query
+def labelled_edges_round_trip(spark, sf):
+    from spreadrank.sources import readers
+
+    path, t = _folder(spark, "labelled"), table(spark, sf, "nation")
+    lines = t.orderBy("n_nationkey").select(F.concat(F.lit("n"), "n_nationkey", F.lit("  r"), "n_regionkey", F.lit(" x")).alias("value"))
+    notes = spark.range(1).select(F.explode(F.array(F.lit("# nations"), F.lit(""), F.lit("alone"))).alias("value"))
+    notes.unionByName(lines).coalesce(1).write.text(path)
+    edges, ids = readers.read_labelled_edges(spark, path)
+    a, b = (ids.select(F.col("label").alias(name), F.col("id").alias(at)) for name, at in (("a", "src"), ("b", "dst")))
+    return edges.join(a, "src").join(b, "dst").select("src", "a", "dst", "b")
+
+
+@query
+def state_text_round_trip(spark, sf):
+    from spreadrank.sources import readers, sinks
+
+    path = _folder(spark, "states")
+    sinks.write_states(error_rates(spark, sf), path, text=True)
+    return rounded(readers.read_states(spark, path))
+
+
+@query
+def labelled_state_text(spark, sf):
+    from spreadrank.sources import readers
+
+    path = _folder(spark, "labelled-states")
+    error_rates(spark, sf).select(F.concat(F.lit("u"), "v", F.lit(" \t"), F.col("x").cast("string"), F.lit(" "))).write.text(path)
+    return rounded(readers.read_labelled_state_file(spark, path))
+
+
+def _write_status_runs(spark, sf, path):
+    """A run record for each order status."""
+    from spreadrank.sources import sinks
+
+    by = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("o_totalprice").cast("double")).alias("p"))
+    for r in by.orderBy("o_orderstatus").collect():  # three at most
+        sinks.write_run(spark, path, r.o_orderstatus, "orders", "count", r.p / 1000, r.p / 2000, r.n, 1 / r.n)
+
+
+@query
+def run_records_round_trip(spark, sf):
+    from spreadrank.sources import readers
+
+    path = _folder(spark, "runs")
+    _write_status_runs(spark, sf, path)
+    key = ["run_id", "graph", "algo"]
+    times, est = readers.read_times(spark, path), readers.read_times(spark, path, estimation=True).withColumnRenamed("time_s", "est_time_s")
+    return rounded(times.join(est, key).join(readers.read_sample_sizes(spark, path), key).join(readers.read_xi(spark, path), key), 6)
+
+
+@query
+def distance_round_trip(spark, sf):
+    from spreadrank.sources import readers, sinks
+
+    path = _folder(spark, "distances")
+    for t in (60, 100):
+        g = user_purchase(spark, sf, t)
+        d = T.distance_summary(g, T.shortest_paths(g)).first()
+        sinks.write_distances(spark, path, f"user_purchase_{t}", d.diameter, d.mean_distance, 0.0)
+    return rounded(readers.read_distances(spark, path))
+
+
+@query
+def d_v_round_trip(spark, sf):
+    from spreadrank.sources import sinks
+
+    path = _folder(spark, "dv")
+    sinks.write_distortion(X.distortion(error_rates(spark, sf)), path, "users")
+    values, summary = (spark.read.parquet(f"{path}/{part}") for part in ("values", "summary"))
+    return rounded(values.join(F.broadcast(summary), "graph"))  # one row
+
+
+@query
+def exact_run_round_trip(spark, sf):
+    from spreadrank.sources import readers, sinks
+
+    path, (g, x) = _folder(spark, "exact"), both(spark, sf)
+    sinks.save_exact("user_purchase_60", "betweenness", C.betweenness(g), path, 2.0)
+    sinks.save_exact("user_purchase_60", "target", C.target(g, x), path, 1.0, d_v=X.distortion(x))
+    scores = readers.read_scores(spark, f"{path}/scores").join(spark.read.parquet(f"{path}/dv/values").select("v", "d_v"), "v")
+    return rounded(scores.join(readers.read_times(spark, f"{path}/runs").select("run_id", "time_s"), "run_id").select("run_id", "graph", "algo", "v", "pc", "d_v", "time_s"))
+
+
+@query
+def progressive_run_round_trip(spark, sf):
+    from spreadrank.sources import readers, sinks
+
+    path, (g, x) = _folder(spark, "progressive"), both(spark, sf)
+    scores = E.estimate_kappa(g, x, SAMPLES)
+    sinks.save_progressive("user_purchase_60", "kappa", "a", P.Progress(scores, SAMPLES, 0.25, 0.0), path, 2.0, 1.0, d_v=X.distortion(x))
+    sinks.save_progressive("user_purchase_60", "kappa", "b", P.Progress(scores.limit(0), 0, 0.0, 0.0), path, 2.0)
+    runs = spark.read.parquet(f"{path}/runs").select("run_id", "time_s", "est_time_s", "sample_size", "xi", "max_d_v")
+    return rounded(runs.join(readers.read_scores(spark, f"{path}/scores").select("run_id", "v", "pc"), "run_id", "left"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_target_pc(spark, sf_dir)
 

@@ -11,9 +11,9 @@ RUN = "run_id string, graph string, algo string, time_s double, est_time_s doubl
 
 
 def write_states(states: DataFrame, path: str, text: bool = False) -> None:
-    """Parquet (v, x), or text with a state a line in the order of v."""
+    """Parquet (v, x), or one text file with a state a line in the order of v: its line is what tells a vertex."""
     if text:
-        states.orderBy("v").select(F.col("x").cast("string")).write.mode("overwrite").text(path)
+        states.orderBy("v").select(F.col("x").cast("string")).coalesce(1).write.mode("overwrite").text(path)
     else:
         states.select("v", "x").write.mode("overwrite").parquet(path)
 
@@ -40,12 +40,14 @@ def write_distances(spark, path: str, graph: str, diameter: int, avg_distance: f
 
 
 def save_progressive(graph_name: str, algo: str, run_id: str, progress, path: str, time_s: float, est_time_s: float | None = None, d_v: DataFrame | None = None) -> None:
-    """Scores, the run's record and, if given, d_v. A run without samples leaves its record alone, so it is seen to have failed."""
+    """Scores, the run's record and, if given, d_v. A run without samples leaves a record of -1 in all numbers, and no scores."""
     spark = progress.scores.sparkSession
     top = d_v.agg(F.max("d_v")).first()[0] if d_v is not None else None
     if progress.samples:
         write_scores(progress.scores, f"{path}/scores", run_id, graph_name, algo)
-    write_run(spark, f"{path}/runs", run_id, graph_name, algo, time_s, est_time_s, progress.samples, progress.xi, top)
+        write_run(spark, f"{path}/runs", run_id, graph_name, algo, time_s, est_time_s, progress.samples, progress.xi, top)
+    else:
+        write_run(spark, f"{path}/runs", run_id, graph_name, algo, -1.0, -1.0, -1, -1.0, top)
     if d_v is not None:
         write_distortion(d_v, f"{path}/dv/{run_id}", graph_name)
 
