@@ -321,8 +321,23 @@ def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+def packed_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (rest: array of (place, ids), doc_id) to (blob of the ids of all places in order, doc_id): how many, sizes, ids."""
+    for batch in batches:
+        counts = np.array(pc.list_value_length(batch.column(0)), np.int64)
+        places = batch.column(0).flatten()
+        order = np.lexsort((places.field("place").to_numpy(), np.repeat(np.arange(batch.num_rows), counts)))
+        offsets = places.field("ids").offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(offsets)[order]
+        ids = _gathered(places.field("ids").values.to_numpy(), offsets[:-1][order], sizes)
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        at = np.concatenate(([0], np.cumsum(sizes)))[cuts]
+        blobs = [_packed(np.concatenate(([b - a], sizes[a:b], ids[c:d]))) for a, b, c, d in zip(cuts[:-1], cuts[1:], at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), batch.column(1)], names=["rest", "doc_id"])
+
+
 def put_together(sent):
-    """mapInArrow function: (numbers, rest: array of (place, ids), other columns) to (ids, other columns)."""
+    """mapInArrow function: (numbers, rest of packed_rest(), other columns) to (ids, other columns)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,17 +354,15 @@ def put_together(sent):
         own = sent.value
         sizes = np.array([0 if x is None else len(x) for x in held])
         numbers = np.concatenate([x for x in held if x is not None] or [np.zeros(0, np.int64)])
-        rest = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
-        places = rest.flatten()
-        order = np.lexsort((places.field("place").to_numpy(), np.repeat(np.arange(len(held)), np.array(pc.list_value_length(rest)))))
-        ids = places.field("ids")
-        from_, to = ids.offsets.to_numpy()[:-1].astype(np.int64)[order], ids.offsets.to_numpy()[1:].astype(np.int64)[order]
+        rest = [_unpacked(blob) for blob in part.column(1).to_pylist() if blob is not None]
+        took = np.concatenate([x[1 : 1 + x[0]] for x in rest] or [np.zeros(0, np.int64)])
+        ids = np.concatenate([x[1 + x[0] :] for x in rest] or [np.zeros(0, np.int64)]).astype(np.int32)
         known, at = numbers >= 0, np.maximum(numbers, 0)
         starts, lengths = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         if len(own.hashes):
             starts, lengths = own.starts[at].astype(np.int64), own.sizes[at].astype(np.int64)
-        starts[~known], lengths[~known] = from_ + len(own.ids), to - from_
-        out = _gathered(np.concatenate((own.ids, ids.values.to_numpy())), starts, lengths)
+        starts[~known], lengths[~known] = np.cumsum(took) - took + len(own.ids), took
+        out = _gathered(np.concatenate((own.ids, ids)), starts, lengths)
         cuts = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
         lists = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(out.astype(np.int32)), mask=pa.array([x is None for x in held]))
         return pa.RecordBatch.from_arrays([lists, *part.columns[2:]], names=["ids", *part.schema.names[2:]])
@@ -380,7 +393,7 @@ def encode_texts(texts: DataFrame, model: Model, hot: int = HOT, text: bool = Fa
     sent = spark.sparkContext.broadcast(Frequent(table.filter(often).toArrow()))
     asked = texts.select("text", "doc_id").mapInArrow(seldom(sent), f"{_columns([texts.schema['doc_id']])}, place int, word string")
     rest = asked.join(table.filter(~often).select("word", "ids"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
-    rest = materialize(rest, "seldom-ids")
+    rest = materialize(rest.select("rest", "doc_id").mapInArrow(packed_rest, f"rest binary, {_columns([texts.schema['doc_id']])}"), "seldom-ids")
     drop_tables(table)
     release(spark)
     numbers = texts.mapInArrow(numbered(sent), f"numbers binary, {_columns(others)}")
