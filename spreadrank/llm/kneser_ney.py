@@ -138,22 +138,33 @@ def _discount(c: Column) -> Column:
 
 
 def gram_scores(counts: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, lp): ln p of the last character after the others, for each (lang, gram, c); c is 0 for n-grams of untrusted text."""
-    tables, level = {order: counts.filter("c > 0")}, counts.filter("c > 0")
-    for n in range(order - 1, 0, -1):  # how many different characters come before each shorter n-gram
-        level = level.select("lang", F.substr("gram", F.lit(2)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
-        tables[n] = level
-    alphabet = tables[1].groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    asked = counts.select("lang", "gram").join(F.broadcast(alphabet), "lang", "left").withColumn("p", F.lit(1.0) / (F.coalesce("v", F.lit(0)) + 1)).drop("v")
+    """(key, n, lp), written: ln p of the last character after the others, for each (lang, gram, n, c); c is 0 for n-grams of untrusted text.
+
+    Each order is a plan of its own over written tables. As a single plan it had some 60 shuffles, whose threads, generated code and
+    events took hundreds of MB of the driver.
+    """
+    tables = {order: counts}
+    for n in range(order - 1, 0, -1):  # how many different characters come before each shorter n-gram in training text
+        level = tables[n + 1].groupBy("lang", F.substr("gram", F.lit(2)).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
+        tables[n] = materialize(level, f"grams-{n}")
+    lower = None
     for n in range(1, order + 1):
-        own, context = F.substr("gram", F.lit(order - n + 1)), F.substr("gram", F.lit(order - n + 1), F.lit(n - 1))
-        t = tables[n].join(F.broadcast(_discounts(tables[n])), "lang").withColumn("d", _discount(F.col("c")))
-        seen = t.select("lang", F.col("gram").alias("own"), (F.col("c") - F.col("d")).alias("rest"))
-        about = t.groupBy("lang", F.substr("gram", F.lit(1), F.lit(n - 1)).alias("context")).agg(F.sum("c").alias("total"), F.sum("d").alias("spared"))
-        asked = asked.withColumns({"own": own, "context": context}).join(seen, ["lang", "own"], "left").join(about, ["lang", "context"], "left")
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.coalesce("rest", F.lit(0.0)) + F.col("spared") * F.col("p")) / F.col("total"))
-        asked = asked.withColumn("p", p).select("lang", "gram", "p")
-    return asked.select("lang", "gram", F.log("p").alias("lp"))
+        own = tables[n].join(F.broadcast(_discounts(tables[n])), "lang", "left").withColumns({"d": _discount(F.col("c")), "context": F.substr("gram", F.lit(1), F.lit(n - 1)), "rest": F.substr("gram", F.lit(2))})
+        about = own.filter("c > 0").groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("spared"))
+        if lower is None:
+            alphabet = tables[1].filter("c > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+            below = own.join(F.broadcast(alphabet), "lang", "left").withColumn("p", F.lit(1.0) / (F.coalesce("v", F.lit(0)) + 1))
+        else:
+            below = own.join(lower.select("lang", F.col("gram").alias("rest"), "p"), ["lang", "rest"])
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("c") - F.col("d") + F.col("spared") * F.col("p")) / F.col("total"))
+        asked = below.join(about, ["lang", "context"], "left").withColumn("p", p)
+        if n < order:
+            scores = materialize(asked.select("lang", "gram", "p"), f"p-{n}")
+        else:
+            scores = materialize(asked.select("lang", "gram", "n", F.log("p").alias("lp")).mapInArrow(keyed(order), "key long, n long, lp double"), "scores")
+        drop_tables(*([lower] if lower is not None else []), *([tables[n]] if n < order else []))
+        lower = scores
+    return lower
 
 
 def trusted_docs(labels: DataFrame) -> DataFrame:
@@ -239,8 +250,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, window: in
     counts = trains.mapInArrow(counted(order), "lang string, gram string, n long, c long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     counts = materialize(counts, "counts")
     release(spark)
-    scores = gram_scores(counts, order).join(counts.select("lang", "gram", "n"), ["lang", "gram"]).select("lang", "gram", "n", "lp").mapInArrow(keyed(order), "key long, n long, lp double")
-    scores = materialize(scores, "scores")
+    scores = gram_scores(counts, order)
     drop_tables(counts)
     release(spark)
     often = F.col("n") >= hot_count(scores, hot=hot)
