@@ -5,9 +5,16 @@ Scores are (v, pc); runs are (run_id, v, pc). Rankings go by score, ties by the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spreadrank.functions.lineage import cut
+
+#: Blocks of ranks that pairs are counted in; their counts by pairs of blocks, 4 * BLOCKS**2 numbers at most, are added up on the driver.
+BLOCKS = 512
+
 
 def _both(exact: DataFrame, estimate: DataFrame) -> DataFrame:
     return exact.select("v", F.col("pc").alias("a")).join(estimate.select("v", F.col("pc").alias("b")), "v")
@@ -48,21 +55,84 @@ def overlap(exact: DataFrame, estimate: DataFrame, k: int) -> DataFrame:
     return run.select("j", "common", (F.col("common") / (2 * F.col("j") - F.col("common"))).alias("jaccard"))
 
 
+def places(values: DataFrame, c: str) -> DataFrame:
+    """(c, c_n, c_before): each different value, its rows and those of smaller values. Ranges are summed first, so no task has all values."""
+    n, before = f"{c}_n", f"{c}_before"
+    dealt = cut(values.groupBy(c).agg(F.count(F.lit(1)).alias(n)).repartitionByRange(c).withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.sum(n).alias("k"))
+    first = sums.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("part_before"))  # a row for each partition
+    run = F.sum(n).over(Window.partitionBy("part").orderBy(c)) - F.col(n)
+    return dealt.withColumn("run", run).join(F.broadcast(first), "part").select(c, n, (F.col("part_before") + F.col("run")).alias(before))
+
+
 def average_ranks(scores: DataFrame) -> DataFrame:
     """(v, r): ranks from the lowest score, the mean of their places for equals. Equal scores are counted first."""
-    g = scores.groupBy("pc").agg(F.count(F.lit(1)).alias("c"))
-    before = g.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = places(scores, "pc").withColumnsRenamed({"pc_n": "c", "pc_before": "before"})
     return scores.join(before, "pc").select("v", (F.col("before") + (F.col("c") + 1) / 2).alias("r"))
 
 
+def inversions(y: np.ndarray, chunk: int = 256) -> int:
+    """How many pairs stand in falling order, by merging sorted runs."""
+    runs, total = [], 0
+    for k in range(0, len(y), chunk):
+        part = y[k : k + chunk]
+        total += int(np.count_nonzero(np.triu(part[:, None] > part[None, :], 1)))
+        runs.append(np.sort(part))
+    while len(runs) > 1:
+        merged = []
+        for first, then in zip(runs[::2], runs[1::2], strict=False):
+            total += int((len(first) - np.searchsorted(first, then, "right")).sum())
+            merged.append(np.sort(np.concatenate((first, then)), kind="stable"))
+        runs = merged + runs[len(runs) // 2 * 2 :]
+    return total
+
+
+def discordant(rows: DataFrame, n: int, blocks: int = BLOCKS) -> int:
+    """How many of the pairs of ``rows`` (a_before, a_n, b_before, b_n) rise by one place and fall by the other.
+
+    Each order is cut into blocks of n / blocks places; equals that fill a block are one of their own, within which no pair counts. Pairs of
+    one a-block are counted in that block's task, others of one b-block in that one's, all others by the rows of each pair of blocks.
+    """
+    width = max(1024, -(-n // blocks))
+    block = lambda c: (2 * F.floor(F.col(f"{c}_before") / width) + (F.col(f"{c}_n") > width).cast("int")).cast("long")
+    own = cut(rows.select(F.col("a_before").alias("x"), F.col("b_before").alias("y"), block("a").alias("i"), block("b").alias("j")))
+
+    def counted(first: str, then: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            by, y = pdf[first].to_numpy(), pdf[then].to_numpy()
+            return pd.DataFrame({"k": [inversions(y[np.lexsort((y, by))])]})
+
+        return run
+
+    near = own.filter("i % 2 = 0").groupBy("i").applyInPandas(counted("x", "y"), "k long").unionByName(own.filter("j % 2 = 0").groupBy("j").applyInPandas(counted("i", "y"), "k long"))
+    cells = own.groupBy("i", "j").agg(F.count(F.lit(1)).alias("k")).toArrow()
+    at = [cells[c].to_numpy() for c in ("i", "j")]
+    table = np.zeros([int(x.max()) + 1 if len(x) else 1 for x in at], np.int64)
+    table[at[0], at[1]] = cells["k"].to_numpy()
+    after = np.cumsum(table[::-1], axis=0)[::-1] - table  # of later a-blocks
+    far = np.cumsum(after, axis=1) - after  # and of earlier b-blocks
+    return int((table * far).sum()) + (near.agg(F.sum("k")).first()[0] or 0)
+
+
+def tau(both: DataFrame, blocks: int = BLOCKS) -> Column:
+    """Kendall's tau-b of (a, b), null if either is constant. Pairs with a null don't count."""
+    pairs = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.sum((F.col("c") * (F.col("c") - 1) / 2).cast("long"))).first()[0] or 0
+    odd = [F.isnan(F.col(c).cast("double")) for c in "ab"]
+    if both.filter(odd[0] | odd[1]).take(1):
+        return F.lit(float("nan"))
+    p, q = (pairs(own := both.filter(f"{c} is not null")) - pairs(own, c) for c in "ab")
+    rows = both.filter("a is not null and b is not null")
+    rows = cut(rows.join(places(rows, "a"), "a").join(places(rows, "b"), "b"))
+    untied = pairs(rows) - pairs(rows, "a") - pairs(rows, "b") + pairs(rows, "a", "b")
+    s = untied - 2 * discordant(rows, rows.count(), blocks)
+    return F.try_divide(F.lit(float(s)), F.sqrt(F.lit(float(p)) * F.lit(float(q))))
+
+
 def correlations(exact: DataFrame, estimate: DataFrame) -> DataFrame:
-    """(pearson, spearman, kendall): Kendall's tau-b by comparing all pairs, for small tables."""
-    both = _both(exact, estimate)
+    """(pearson, spearman, kendall): Kendall's tau-b of all pairs."""
+    both = cut(_both(exact, estimate))
     ranks = average_ranks(exact).withColumnRenamed("r", "a").join(average_ranks(estimate).withColumnRenamed("r", "b"), "v")
-    x, y = both.select("v", "a", "b"), both.select(F.col("v").alias("w"), F.col("a").alias("c"), F.col("b").alias("d"))
-    sign = lambda p, q: F.signum(F.col(p) - F.col(q))
-    pairs = x.join(y, F.col("v") < F.col("w")).agg(F.sum(sign("a", "c") * sign("b", "d")).alias("s"), F.sum(F.abs(sign("a", "c"))).alias("p"), F.sum(F.abs(sign("b", "d"))).alias("q"))
-    kendall = pairs.select(F.try_divide("s", F.sqrt(F.col("p") * F.col("q"))).alias("kendall"))
+    kendall = exact.sparkSession.range(1).select(tau(both).alias("kendall"))
     return both.agg(F.corr("a", "b").alias("pearson")).crossJoin(ranks.agg(F.corr("a", "b").alias("spearman"))).crossJoin(kendall)
 
 
