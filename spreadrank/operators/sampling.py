@@ -35,7 +35,8 @@ def _bucketed(points: DataFrame, intervals: DataFrame, t: str, low: str, high: s
 
 
 def kappa_sources(states: DataFrame, samples: int, first: int = 0, stream: int = 2, buckets: int = 4096) -> DataFrame:
-    """(sample, s, xs, mass): sources with probability mass / total, by inverse CDF over vertices in the order of (x, v).
+    """(sample, s, xs, mass, over): sources with probability mass / total, by inverse CDF over vertices in the order of (x, v). over: what of
+    the draw is left in the source's own mass.
 
     Vertices with equal states have equal masses: the draw finds their group's interval, then the place in it.
     """
@@ -51,7 +52,8 @@ def kappa_sources(states: DataFrame, samples: int, first: int = 0, stream: int =
     place = states.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("v")) - 1).select("x", "r", F.col("v").alias("s"))
     sizes = groups.select("x", (F.col("c") - 1).alias("last"))
     hit = hit.join(sizes, "x").withColumn("r", F.least("r", "last"))
-    return hit.join(place, ["x", "r"]).select("sample", "s", F.col("x").alias("xs"), "mass")
+    over = F.greatest(F.lit(0.0), F.col("t") - F.col("low") - F.col("r") * F.col("mass"))
+    return hit.join(place, ["x", "r"]).select("sample", "s", F.col("x").alias("xs"), "mass", over.alias("over"))
 
 
 def kappa_pairs(states: DataFrame, samples: int, first: int = 0, cells: int = 1024) -> DataFrame:
@@ -61,6 +63,11 @@ def kappa_pairs(states: DataFrame, samples: int, first: int = 0, cells: int = 10
     smaller states, so the cell of states that holds the draw is found in a table of ``cells`` rows, the group by equi-join on the cell.
     """
     source = kappa_sources(states, samples, first).withColumn("t", uniform(F.col("sample"), 3) * F.col("mass"))
+    return _targets(states, source, cells)
+
+
+def _targets(states: DataFrame, source: DataFrame, cells: int) -> DataFrame:
+    """(sample, s, z) from (sample, s, xs, t): the vertex below s whose run of ramps, in the order of (x, v), holds t."""
     groups = ranked(states).withColumn("g", F.floor(F.col("x") * cells))
     starts = groups.groupBy("g").agg(F.min(F.struct("x", "j", "s")).alias("a")).select("g", F.col("a.x").alias("x0"), F.col("a.j").alias("j0"), F.col("a.s").alias("s0"))
     reached = source.join(F.broadcast(starts), (F.col("x0") < F.col("xs")) & (F.col("j0") * F.col("xs") - F.col("s0") <= F.col("t")))
@@ -73,13 +80,13 @@ def kappa_pairs(states: DataFrame, samples: int, first: int = 0, cells: int = 10
 
 
 def kappa_pairs_listed(states: DataFrame, samples: int, first: int = 0) -> DataFrame:
-    """kappa law by listing all pairs with a positive ramp, for checks on small graphs: (sample, s, z) from one running sum."""
-    a, b = states.withColumnsRenamed({"v": "s", "x": "xs"}), states.withColumnsRenamed({"v": "z", "x": "xz"})
-    pairs = a.join(b, F.col("xs") > F.col("xz")).withColumn("w", F.col("xs") - F.col("xz"))
-    run = pairs.withColumn("high", F.sum("w").over(Window.orderBy("xs", "s", "xz", "z"))).withColumn("low", F.col("high") - F.col("w"))
-    whole = pairs.agg(F.sum("w").alias("total"))
-    points = _ids(states, samples, first).crossJoin(F.broadcast(whole)).withColumn("t", uniform(F.col("sample"), 2) * F.col("total"))
-    return _bucketed(points, run.crossJoin(F.broadcast(whole)), "t", "low", "high", "total", 256).select("sample", "s", "z")
+    """kappa law with one draw a sample, on the list of all pairs with a positive ramp in the order of (x_s, s, x_z, z): (sample, s, z).
+
+    The list is not made: a source's pairs follow one another and their ramps add up to its mass, so the draw falls into the run of a
+    source's mass, and what is left of it into a pair of that source.
+    """
+    source = kappa_sources(states, samples, first)
+    return _targets(states, source.withColumn("t", F.col("over")), 1024)
 
 
 def uniform_source_pairs(states: DataFrame, samples: int, first: int = 0) -> DataFrame:

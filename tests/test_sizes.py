@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from spreadrank.operators import evaluate
+from spreadrank.functions.draws import uniform_array
+from spreadrank.operators import evaluate, sampling
 
 
 def test_kendall_counts_pairs_in_blocks(spark):
@@ -24,3 +26,20 @@ def test_correlations_of_a_large_table(spark):
     exact = spark.range(100_000).select(F.col("id").alias("v"), F.col("id").cast("double").alias("pc"))
     out = evaluate.correlations(exact, exact.withColumn("pc", -F.col("pc"))).first()
     assert abs(out.kendall + 1) < 1e-12 and abs(out.spearman + 1) < 1e-9
+
+
+def test_listed_pairs_without_the_list(spark):
+    """The rows of the list's running sum, from a table whose list would have 5e9 pairs, and the same by brute force on a small one."""
+    r = random.Random(5)
+    own = sorted((r.randint(0, 12) / 16, v) for v in range(90))
+    high, pairs = 0.0, []
+    for x, s in own:
+        for y, z in own:
+            if x > y:
+                pairs.append((high, high := high + x - y, s, z))
+    states = spark.createDataFrame([(v, x) for x, v in own], "v long, x double")
+    got = {w.sample: (w.s, w.z) for w in sampling.kappa_pairs_listed(states, 400).collect()}
+    u = uniform_array(np.arange(400), np.full(400, 2)) * high
+    assert got == {k: next((s, z) for a, b, s, z in pairs if a <= t < b) for k, t in enumerate(u)}
+    many = spark.range(100_000).select(F.col("id").alias("v"), (F.col("id") / 100_000).alias("x"))
+    assert sampling.kappa_pairs_listed(many, 200).count() == 200
