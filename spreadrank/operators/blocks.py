@@ -48,7 +48,7 @@ class Compact:
     @property
     def block(self) -> int:
         """Sources of a block."""
-        return max(1, CELLS // max(len(self.ids), len(self.to), 1))
+        return max(1, CELLS // max(len(self.ids) + len(self.to), 1))
 
     def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ids, and which of them are vertices."""
@@ -99,7 +99,7 @@ class Search:
             cells, ways = np.repeat(front - v, count) + ends, np.repeat(self.sigma[front], count)
             new = self.dist[cells] < 0
             cells, ways = cells[new], ways[new]
-            np.add.at(self.sigma, cells, ways)
+            self.add(self.sigma, cells, ways)
             front = self.once(cells)
             self.dist[front] = len(self.levels)
 
@@ -118,17 +118,28 @@ class Search:
         good = self.dist[prior] == self.dist[cells][of] - 1
         return prior[good], of[good]
 
-    def dependencies(self, worth: Callable[[np.ndarray], np.ndarray], through: np.ndarray | None) -> np.ndarray:
-        """delta of each cell: see ``traverse.accumulate``. worth: of cells; through: whether a vertex passes anything on."""
-        delta = np.zeros(len(self.sigma))
+    def dependencies(self, worths: list[tuple[Callable[[np.ndarray], np.ndarray], np.ndarray | None]]) -> list[np.ndarray]:
+        """delta of each cell for each (worth, through): see ``traverse.accumulate``. worth: of cells; through: whether a vertex passes anything on."""
+        deltas = [np.zeros(len(self.sigma)) for _ in worths]
         for level in reversed(self.levels[1:]):
-            part = (worth(level) + delta[level]) / self.sigma[level]
-            if through is not None:
-                part = np.where(through[level % self.n], part, 0.0)
             prior, of = self.before(level)
-            np.add.at(delta, prior, self.sigma[prior] * part[of])
-        delta[self.levels[0]] = 0.0
-        return delta
+            ways = self.sigma[prior]
+            for delta, (worth, through) in zip(deltas, worths, strict=True):
+                part = (worth(level) + delta[level]) / self.sigma[level]
+                if through is not None:
+                    part = np.where(through[level % self.n], part, 0.0)
+                self.add(delta, prior, ways * part[of])
+        for delta in deltas:
+            delta[self.levels[0]] = 0.0
+        return deltas
+
+    @staticmethod
+    def add(to: np.ndarray, cells: np.ndarray, values: np.ndarray) -> None:
+        """to[cells] += values, repeated cells too; whole arrays at once where most cells are met."""
+        if 4 * len(cells) > len(to):
+            to += np.bincount(cells, values, len(to))
+        else:
+            np.add.at(to, cells, values)
 
     def to_goals(self) -> tuple[np.ndarray, np.ndarray]:
         """(cells strictly between source and goal, share of shortest paths through each)."""
@@ -161,6 +172,31 @@ class Search:
         return np.concatenate(out) if out else at
 
 
+    def shares(self, sample: np.ndarray, share: float, most: int, stream: int = 50, step: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
+        """(cells strictly inside, share of the drawn paths through each) for max(1, floor(share * paths there are)) paths of each source,
+        drawn as ``draw`` does, numbered sample * most + 0, 1, ... A block is searched once, its paths are drawn ``step`` at a time."""
+        rows = np.flatnonzero(self.dist[self.goal] >= 0)
+        count = np.maximum(1, np.floor(share * self.sigma[self.goal[rows]])).astype(np.int64)
+        ends, hits = np.cumsum(count), np.zeros(len(self.sigma))
+        for low in range(0, int(count.sum()), step):
+            path = np.arange(low, min(low + step, int(ends[-1])))
+            own = np.searchsorted(ends, path, "right")
+            one, at = sample[rows[own]] * most + path - (ends - count)[own], self.goal[rows[own]]
+            while len(at):
+                prior, of = self.before(at)
+                u = uniform_array(one, self.dist[at] - 1 + stream) * self.sigma[at]
+                run = _runs(self.sigma[prior], of)
+                hit = (u[of] >= run - self.sigma[prior]) & (u[of] < run)
+                at, one = prior[hit], one[of[hit]]
+                inner = self.dist[at] > 0
+                at, one = at[inner], one[inner]
+                np.add.at(hits, at, 1.0)
+        by = np.ones(len(self.goal))
+        by[rows] = count
+        cells = np.flatnonzero(hits)
+        return cells, hits[cells] / by[cells // self.n]
+
+
 def _runs(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Running sums within runs of equal ``of``; exact while path counts are whole doubles."""
     if not len(values):
@@ -178,30 +214,35 @@ def _tasks(spark: SparkSession, blocks: int) -> int:
     return cores if blocks <= cores else min(4 * cores, blocks)
 
 
-def dependency_sums(spark: SparkSession, g: Compact, sources: np.ndarray, weight: np.ndarray | None = None, x: np.ndarray | None = None) -> DataFrame:
+def dependency_sums(spark: SparkSession, g: Compact, sources: np.ndarray, weight: np.ndarray | None = None, x: np.ndarray | None = None, plain: bool = False) -> DataFrame:
     """(v, t): sum over sources (positions) of weight * delta. With x, reaching v from s is worth max(x_s - x_v, 0), and vertices whose x is
-    NaN pass nothing on; else 1. A task adds up its sources before anything is shuffled."""
+    NaN pass nothing on; else 1. plain: also ``plain``, the sum of delta where all are worth 1, from the same searches. A task adds up its
+    sources before anything is shuffled."""
     sent = spark.sparkContext.broadcast((g, sources.astype(np.int64), weight, x))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, sources, weight, x = sent.value
-        n, total = len(g.ids), np.zeros(len(g.ids))
+        n, total, even = len(g.ids), np.zeros(len(g.ids)), np.zeros(len(g.ids))
         through = None if x is None else ~np.isnan(x)
+        ones = (lambda cells: np.ones(len(cells)), None)
         for batch in batches:
             mine = batch.column(0).to_numpy()
             for k in range(0, len(mine), g.block):
                 of = mine[k : k + g.block]
                 s = sources[of]
-                worth = (lambda cells: np.ones(len(cells))) if x is None else (lambda cells, s=s: np.fmax(x[s[cells // n]] - x[cells % n], 0.0))
-                delta = Search(g, s).dependencies(worth, through).reshape(len(s), n)
-                total += delta.sum(axis=0) if weight is None else weight[of] @ delta
+                worth = ones if x is None else (lambda cells, s=s: np.fmax(x[s[cells // n]] - x[cells % n], 0.0), through)
+                first, *more = (d.reshape(len(s), n) for d in Search(g, s).dependencies([worth, ones] if plain else [worth]))
+                total += first.sum(axis=0) if weight is None else weight[of] @ first
+                for delta in more:
+                    even += delta.sum(axis=0)
         if through is not None:
             total[~through] = 0.0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g.ids[some]), pa.array(total[some])], names=["v", "t"])
+        some = np.flatnonzero((total != 0) | (even != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(g.ids[some]), pa.array(total[some]), pa.array(even[some])], names=["v", "t", "plain"])
 
     tasks = _tasks(spark, -(-len(sources) // g.block))
-    return spark.range(0, len(sources), 1, tasks).mapInArrow(work, "v bigint, t double").groupBy("v").agg(F.sum("t").alias("t"))
+    rows = spark.range(0, len(sources), 1, tasks).mapInArrow(work, "v bigint, t double, plain double")
+    return rows.groupBy("v").agg(F.sum("t").alias("t"), *([F.sum("plain").alias("plain")] if plain else []))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], g: Compact) -> Iterator[list[np.ndarray]]:
@@ -262,6 +303,11 @@ def fractions(g: Compact, samples: DataFrame) -> DataFrame:
     return _pairs(g, samples, [], "sample bigint, v bigint, value double", lambda found, block: found.to_goals()).withColumnRenamed("value", "f")
 
 
+def shares(g: Compact, samples: DataFrame, share: float, most: int) -> DataFrame:
+    """(sample, v, f): of the paths drawn for each sample, see ``Search.shares``, the share with v inside."""
+    return _pairs(g, samples, [], "sample bigint, v bigint, value double", lambda found, block: found.shares(block[0], share, most)).withColumnRenamed("value", "f")
+
+
 def drawn(g: Compact, samples: DataFrame, stream) -> DataFrame:
     """(sample, v, d): inner vertices of one drawn path a sample."""
 

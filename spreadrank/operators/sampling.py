@@ -119,6 +119,8 @@ def path_hits(graph: Graph, pairs: DataFrame, share: float = 0.0, most: int = 1
     samples = cut(pairs.filter("s <> z"))
     if not share:
         return draw_paths(graph, samples).select("sample", "v", F.lit(1.0).alias("f"))
+    if graph.compact is not None:
+        return blocks.shares(graph.compact, samples, share, most)
     _, on = paths_to_targets(graph, samples)
     counts = on.join(samples.withColumnRenamed("z", "v"), ["sample", "v"]).select("sample", "s", F.col("v").alias("z"), F.greatest(F.lit(1), F.floor(F.lit(float(share)) * F.col("sigma_s"))).cast("long").alias("k"))
     each = counts.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("one", F.col("sample") * most + F.col("p"))

@@ -78,3 +78,24 @@ def test_same_draws(spark):
     s = np.arange(0, 10**9, 99_999_937)
     df = spark.createDataFrame([(int(x), int(x) % 17) for x in s], "s long, k long").select(uniform(F.col("s"), F.col("k")).alias("u"))
     assert [r.u for r in df.collect()] == uniform_array(s, s % 17).tolist()
+
+
+def test_many_paths_a_pair_and_shared_searches(spark, monkeypatch):
+    """Both within tasks, against joins."""
+    r = random.Random(11)
+    edges = spark.createDataFrame([(r.randint(0, 9), r.randint(10, 13)) for _ in range(60)], "src long, dst long")
+    states = spark.createDataFrame([(v, r.random()) for v in range(13)] + [(13, None)], "v long, x double")
+    pairs = spark.createDataFrame([(k, r.randint(0, 13), r.randint(0, 13)) for k in range(30)], "sample long, s long, z long")
+
+    def all_of():
+        g = Graph.of(edges)
+        both = exact.betweenness_and_target(g, states.filter("x is not null"))
+        return [rows(sampling.path_hits(g, pairs, 0.4)), *map(rows, both)], [rows(exact.betweenness(g)), rows(exact.target(g, states.filter("x is not null")))]
+
+    fast, apart = all_of()
+    assert fast[1:] == apart
+    with monkeypatch.context() as m:
+        m.setattr(sampling, "paths_to_targets", None)  # no joins
+        assert rows(sampling.path_hits(Graph.of(edges), pairs, 0.4)) == fast[0]
+    monkeypatch.setattr("spreadrank.operators.graph.compact", lambda g: None)
+    assert all_of()[0] == fast
