@@ -93,6 +93,18 @@ def betweenness(graph: Graph, batches: int = 1) -> DataFrame:
     return _with_all(graph, sums, F.col("t"))
 
 
+def betweenness_and_target(graph: Graph, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """betweenness() and target(), from the same searches where the graph fits in a task."""
+    graph = graph.pinned()
+    g = graph.compact
+    if g is None:
+        return betweenness(graph), target(graph, states)
+    own = cut(states.join(graph.vertices, "v", "left_semi"))
+    sums = cut(blocks.dependency_sums(graph.edges.sparkSession, g, np.arange(len(g.ids)), x=_state_array(g, own), plain=True))
+    score = _with_all(graph, sums, F.col("t")).crossJoin(F.broadcast(kappa_total(own))).select("v", F.try_divide("pc", "total").alias("pc"))
+    return _with_all(graph, sums, F.col("plain")), score
+
+
 def induced_target(graph: Graph, states: DataFrame, subset: DataFrame) -> DataFrame:
     """target() of the subgraph on the vertices of ``subset``."""
     return target(induced(graph, subset), states.join(subset, "v", "left_semi"))

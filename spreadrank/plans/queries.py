@@ -680,8 +680,9 @@ def exact_run_round_trip(spark, sf):
     from spreadrank.sources import readers, sinks
 
     path, (g, x) = _folder(spark, "exact"), both(spark, sf)
-    sinks.save_exact("user_purchase_60", "betweenness", C.betweenness(g), path, 2.0)
-    sinks.save_exact("user_purchase_60", "target", C.target(g, x), path, 1.0, d_v=X.distortion(x))
+    between, target = C.betweenness_and_target(g, x)
+    sinks.save_exact("user_purchase_60", "betweenness", between, path, 2.0)
+    sinks.save_exact("user_purchase_60", "target", target, path, 1.0, d_v=X.distortion(x))
     scores = readers.read_scores(spark, f"{path}/scores").join(spark.read.parquet(f"{path}/dv/values").select("v", "d_v"), "v")
     return rounded(scores.join(readers.read_times(spark, f"{path}/runs").select("run_id", "time_s"), "run_id").select("run_id", "graph", "algo", "v", "pc", "d_v", "time_s"))
 
