@@ -269,7 +269,7 @@ def paths_from(g: Compact, sources: DataFrame) -> DataFrame:
             cells, dist, sigma = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
             if known.any():
                 found = Search(g, at[known])
-                cells = np.concatenate(found.levels)
+                cells = np.sort(np.concatenate(found.levels))  # by source and vertex: written as runs
                 dist, sigma = found.dist[cells], found.sigma[cells]
             rows = [s[known][cells // n] if len(cells) else alone[:0], g.ids[cells % n] if len(cells) else alone[:0], dist, sigma]
             lone = [alone, alone, np.zeros(len(alone), np.int32), np.ones(len(alone))]
