@@ -8,7 +8,7 @@
 3. Viterbi: Spark's ``aggregate`` folds a block's nodes in order. The state has each node's best sum of scores and the edge it
    came by (ties: the longest last piece), and the ids of a word are read back from its last node.
 4. Frequent words, HOT at most, are sent to every task as numbers; texts become sequences of numbers in place. The other
-   words are joined to their ids on the word itself and brought to their documents in order, where all ids are put together.
+   words are joined to their ids on the word's 64-bit hash and brought to their documents in order, where all ids are put together.
 
 The path is the model's best under its own scores, as in a unigram model (for the same scores, the ``sentencepiece`` library
 gives the same ids). A BPE model's own encoder merges pair by pair instead; see the README.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ WORDS = r" *[^ \n]+| +|\n"
 BLOCK, WIDE = 48, 64
 #: The most words that are sent to every task, of HOT_BYTES each at most.
 HOT, HOT_BYTES = 1 << 19, 64
+#: Parts of the documents whose seldom words are looked up one after the other, so that a part of their shuffles is on disk at a time.
+PARTS = 2
 #: Words put together at once.
 CHUNK = 200_000
 
@@ -164,7 +167,7 @@ class Pieces:
                 yield self.block_rows(word.filter(short).to_pylist(), n.filter(short))
 
     def read_back(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, n, ids) from blocks with the best edge of every node."""
+        """(key, bytes, n, ids) from blocks with the best edge of every node: each word's hash, as texts have it, and length."""
         for batch in batches:
             words, n, last, path = (batch.column(i) for i in range(4))
             base = np.repeat(path.offsets.to_numpy()[:-1], np.diff(words.offsets.to_numpy()))
@@ -183,7 +186,9 @@ class Pieces:
             order = np.argsort(owner, kind="stable")
             owner, token = self.whole(owner[order], token[order])
             offsets = np.searchsorted(owner, np.arange(len(at) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([words.values, n.values, pa.ListArray.from_arrays(offsets, pa.array(token))], names=["word", "n", "ids"])
+            data, ends = texts(words.values)
+            key, size = pa.array(_hashes(data, ends[:-1], ends[1:]).view(np.int64)), pa.array(np.diff(ends).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([key, size, n.values, pa.ListArray.from_arrays(offsets, pa.array(token))], names=["key", "bytes", "n", "ids"])
 
     def whole(self, owner: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece (-2 - code point) as ids of their bytes, or as the unknown id."""
@@ -212,10 +217,10 @@ def viterbi(nodes: Column) -> Column:
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(word, n, ids) for a table (word, n) of different words."""
+    """(key, bytes, n, ids) for a table (word, n) of different words."""
     table = Pieces(model)
     blocks = words.select("word", "n").sortWithinPartitions("word").mapInArrow(table.lattice, EDGES)
-    return blocks.select("words", "n", "last", viterbi(F.col("nodes")).alias("path")).mapInArrow(table.read_back, "word string, n long, ids array<int>")
+    return blocks.select("words", "n", "last", viterbi(F.col("nodes")).alias("path")).mapInArrow(table.read_back, "key long, bytes int, n long, ids array<int>")
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,12 +244,8 @@ class Frequent:
     """The words sent to every task: sorted hashes, each word's number (by falling count) and the ids of each number."""
 
     def __init__(self, table: pa.Table):
-        hashes, pools = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-        for batch in table.select(["word", "ids"]).to_batches(max_chunksize=20_000):
-            data, offsets = texts(batch.column(0))
-            hashes.append(_hashes(data, offsets[:-1], offsets[1:]))
-            pools.append(narrow(batch.column(1).flatten().to_numpy()))
-        whole, sizes = np.concatenate(hashes), np.array(pc.list_value_length(table["ids"]), np.int64)
+        pools = [np.zeros(0, np.int32), *(narrow(chunk.flatten().to_numpy()) for chunk in table["ids"].chunks)]
+        whole, sizes = table["key"].to_numpy().view(np.uint64), np.array(pc.list_value_length(table["ids"]), np.int64)
         order = np.argsort(-table["n"].to_numpy(), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
@@ -279,25 +280,25 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64) - 1
 
 
-def _numbered(sent, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, starts and ends of words, their numbers, cuts between texts) of runs of escaped texts."""
+def _numbered(sent, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, words' hashes and numbers, cuts between texts) of runs of escaped texts."""
     for first, last, data, offsets in pieces(texts):
         starts, ends = _spans(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
-        yield first, last, data, starts, ends, sent.value.find(_hashes(data, starts, ends)), np.searchsorted(starts, offsets)
+        hashes = _hashes(data, starts, ends)
+        yield first, last, hashes, sent.value.find(hashes), np.searchsorted(starts, offsets)
 
 
 def seldom(sent):
-    """mapInArrow function: (text, doc_id) to (doc_id, place, word) for each word without a number; places count these from 0 in each text."""
+    """mapInArrow function: (text, doc_id) to (doc_id, place, key) for each word without a number; places count these from 0 in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, starts, ends, numbers, cuts in _numbered(sent, batch.column(0)):
-                at, raw = np.flatnonzero(numbers < 0), data.tobytes()
+            for first, last, hashes, numbers, cuts in _numbered(sent, batch.column(0)):
+                at = np.flatnonzero(numbers < 0)
                 before = np.searchsorted(at, cuts)
                 owner = np.repeat(np.arange(last - first), np.diff(before))
-                words = pa.array([raw[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
                 place = pa.array((np.arange(len(at)) - before[owner]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first).take(pa.array(owner)), place, words], names=["doc_id", "place", "word"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, last - first).take(pa.array(owner)), place, pa.array(hashes[at].view(np.int64))], names=["doc_id", "place", "key"])
 
     return run
 
@@ -307,7 +308,7 @@ def numbered(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, _, _, _, numbers, cuts in _numbered(sent, batch.column(0)):
+            for first, last, _, numbers, cuts in _numbered(sent, batch.column(0)):
                 part = batch.slice(first, last - first)
                 packed = [_packed(numbers[a:z]) if ok else None for a, z, ok in zip(cuts[:-1], cuts[1:], part.column(0).is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *part.columns[1:]], names=["numbers", *part.schema.names[1:]])
@@ -376,13 +377,17 @@ def encode_texts(texts: DataFrame, model: Model, hot: int = HOT, text: bool = Fa
     others = texts.schema[1:]
     table = materialize(encode_words(words_of(texts), model), "word-ids")
     release(spark)
-    often = (F.col("n") >= hot_count(table, hot=hot)) & (F.octet_length("word") <= HOT_BYTES)
-    sent = spark.sparkContext.broadcast(Frequent(table.filter(often).toArrow()))
-    asked = texts.select("text", "doc_id").mapInArrow(seldom(sent), f"{_columns([texts.schema['doc_id']])}, place int, word string")
-    rest = asked.join(table.filter(~often).select("word", "ids"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
-    rest = materialize(rest, "seldom-ids")
+    often = (F.col("n") >= hot_count(table, hot=hot)) & (F.col("bytes") <= HOT_BYTES)
+    sent = spark.sparkContext.broadcast(Frequent(table.filter(often).select("key", "n", "ids").toArrow()))
+    parts = []
+    for part in range(PARTS):
+        own = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == part)
+        asked = own.select("text", "doc_id").mapInArrow(seldom(sent), f"{_columns([texts.schema['doc_id']])}, place int, key long")
+        found = asked.join(table.filter(~often).select("key", "ids"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("place", "ids")).alias("rest"))
+        parts.append(materialize(found, f"seldom-ids-{part}"))
+        release(spark)
     drop_tables(table)
-    release(spark)
+    rest = reduce(DataFrame.unionByName, parts)
     numbers = texts.mapInArrow(numbered(sent), f"numbers binary, {_columns(others)}")
     both = numbers.join(rest, "doc_id", "left").select("numbers", "rest", *[f.name for f in others])
     whole, names = put_together(sent), f"ids array<int>, {_columns(others)}"
