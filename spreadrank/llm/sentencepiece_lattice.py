@@ -44,8 +44,8 @@ BLOCK, WIDE = 48, 64
 HOT, HOT_BYTES = 1 << 19, 64
 #: Parts of the documents whose seldom words are looked up one after the other, so that a part of their shuffles is on disk at a time.
 PARTS = 2
-#: Words put together at once.
-CHUNK = 200_000
+#: What a Python worker has at hand at once, so that it stays small: bytes of text, words of a lattice, words put together.
+RUN, TRIES, CHUNK = 1 << 18, 40 * BLOCK, 50_000
 
 
 @dataclass
@@ -162,17 +162,19 @@ class Pieces:
             wide = np.array(pc.utf8_length(word)) > WIDE
             for i in np.flatnonzero(wide):
                 yield self.block_rows([word[i].as_py()], n.slice(i, 1))
-            if not wide.all():
-                short = pa.array(~wide)
-                yield self.block_rows(word.filter(short).to_pylist(), n.filter(short))
+            short = pa.array(~wide)
+            word, n = word.filter(short), n.filter(short)
+            for first in range(0, len(word), TRIES):
+                yield self.block_rows(word.slice(first, TRIES).to_pylist(), n.slice(first, TRIES))
 
     def read_back(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, bytes, n, ids) from blocks with the best edge of every node: each word's hash, as texts have it, and length."""
-        for batch in batches:
-            words, n, last, path = (batch.column(i) for i in range(4))
-            base = np.repeat(path.offsets.to_numpy()[:-1], np.diff(words.offsets.to_numpy()))
-            best = path.values
-            origin, ids, at = -best.field("origin").to_numpy(), best.field("id").to_numpy(), last.values.to_numpy().copy()
+        step = TRIES // BLOCK
+        for batch in (whole.slice(first, step) for whole in batches for first in range(0, whole.num_rows, step)):
+            words, n, last, origin, ids = (batch.column(i) for i in range(5))
+            base = np.repeat(origin.offsets.to_numpy()[:-1] - origin.offsets[0].as_py(), np.diff(words.offsets.to_numpy()))
+            words, n = words.flatten(), n.flatten()
+            origin, ids, at = -origin.flatten().to_numpy(), ids.flatten().to_numpy(), last.flatten().to_numpy().copy()
             live, owners, found = np.arange(len(at)), [], []
             while len(live):
                 node = base[live] + at[live]
@@ -186,9 +188,9 @@ class Pieces:
             order = np.argsort(owner, kind="stable")
             owner, token = self.whole(owner[order], token[order])
             offsets = np.searchsorted(owner, np.arange(len(at) + 1)).astype(np.int32)
-            data, ends = texts(words.values)
+            data, ends = texts(words)
             key, size = pa.array(_hashes(data, ends[:-1], ends[1:]).view(np.int64)), pa.array(np.diff(ends).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([key, size, n.values, pa.ListArray.from_arrays(offsets, pa.array(token))], names=["key", "bytes", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([key, size, n, pa.ListArray.from_arrays(offsets, pa.array(token))], names=["key", "bytes", "n", "ids"])
 
     def whole(self, owner: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece (-2 - code point) as ids of their bytes, or as the unknown id."""
@@ -216,11 +218,20 @@ def viterbi(nodes: Column) -> Column:
     return F.aggregate(nodes, first, step)
 
 
+def best_paths(words: DataFrame, model: Model) -> DataFrame:
+    """(words, n, last, origin, id) of blocks of a table (word, n) of different words: the best way into every node."""
+    blocks = words.select("word", "n").sortWithinPartitions("word").mapInArrow(Pieces(model).lattice, EDGES)
+    return blocks.select("words", "n", "last", viterbi(F.col("nodes")).alias("path")).select("words", "n", "last", "path.origin", "path.id")
+
+
+def ids_of(paths: DataFrame, model: Model) -> DataFrame:
+    """(key, bytes, n, ids) of each word of best_paths()."""
+    return paths.mapInArrow(Pieces(model).read_back, "key long, bytes int, n long, ids array<int>")
+
+
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(key, bytes, n, ids) for a table (word, n) of different words."""
-    table = Pieces(model)
-    blocks = words.select("word", "n").sortWithinPartitions("word").mapInArrow(table.lattice, EDGES)
-    return blocks.select("words", "n", "last", viterbi(F.col("nodes")).alias("path")).mapInArrow(table.read_back, "key long, bytes int, n long, ids array<int>")
+    return ids_of(best_paths(words, model), model)
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,14 +262,23 @@ class Frequent:
         rank[order] = np.arange(len(order), dtype=np.int32)
         by_hash = np.argsort(whole)
         self.hashes, self.numbers, self.ids = whole[by_hash], rank[by_hash], narrow(np.concatenate(pools))
+        self.shift = U(64 - max(1, len(whole).bit_length()))
+        heads = np.searchsorted(self.hashes >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64))
+        self.heads = np.append(heads, len(whole)).astype(np.int32)  # where the hashes with the same first bits begin
         self.sizes, self.starts = narrow(sizes[order]), narrow((np.cumsum(sizes) - sizes)[order])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's number, -1 for other words."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], np.int32(-1))
+        out, head = np.full(len(hashes), -1, np.int32), (hashes >> self.shift).astype(np.int64)
+        at, end = self.heads[head], self.heads[head + 1]
+        live = np.flatnonzero(at < end)
+        at = at[live]
+        while len(live):
+            same = self.hashes[at] == hashes[live]
+            out[live[same]] = self.numbers[at[same]]
+            more = ~same & (at + 1 < end[live])
+            live, at = live[more], at[more] + 1
+        return out
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -282,7 +302,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _numbered(sent, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, words' hashes and numbers, cuts between texts) of runs of escaped texts."""
-    for first, last, data, offsets in pieces(texts):
+    for first, last, data, offsets in pieces(texts, RUN):
         starts, ends = _spans(data, offsets) if len(data) else (np.zeros(0, np.int64),) * 2
         hashes = _hashes(data, starts, ends)
         yield first, last, hashes, sent.value.find(hashes), np.searchsorted(starts, offsets)
@@ -375,7 +395,10 @@ def encode_texts(texts: DataFrame, model: Model, hot: int = HOT, text: bool = Fa
     """
     spark = texts.sparkSession
     others = texts.schema[1:]
-    table = materialize(encode_words(words_of(texts), model), "word-ids")
+    paths = materialize(best_paths(words_of(texts), model), "paths")  # a stage with two passes in Python has twice as many workers, which stay
+    release(spark)
+    table = materialize(ids_of(paths, model), "word-ids")
+    drop_tables(paths)
     release(spark)
     often = (F.col("n") >= hot_count(table, hot=hot)) & (F.col("bytes") <= HOT_BYTES)
     sent = spark.sparkContext.broadcast(Frequent(table.filter(often).select("key", "n", "ids").toArrow()))

@@ -1,6 +1,11 @@
 """What plans and tables must not grow to, whatever the input."""
 
-from spreadrank.llm import kneser_ney
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from spreadrank.llm import kneser_ney, sentencepiece_lattice
 
 
 def test_no_plan_of_the_model_has_many_shuffles(spark, monkeypatch):
@@ -16,3 +21,43 @@ def test_no_plan_of_the_model_has_many_shuffles(spark, monkeypatch):
     labels = spark.createDataFrame([(d, 1, 0) for d in range(12)], "doc_id long, quality int, toxic int")
     assert kneser_ney.classify(docs, labels).count() == 12
     assert max(shuffles) <= 12
+
+
+def peak_mb(batches) -> float:
+    """MB that numpy and Python have at once while ``batches`` are made."""
+    tracemalloc.start()
+    for _ in batches:
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_worker_of_the_lattice_stays_small():
+    """A batch of texts or words is worked off in runs, however large it is."""
+    none = pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+    texts = pa.record_batch([pa.array([" ab" * 1000] * 1000), pa.array(range(1000))], names=["text", "doc_id"])
+    assert peak_mb(sentencepiece_lattice.numbered(Sent(sentencepiece_lattice.Frequent(none)))(iter([texts]))) < 25
+    words = pa.record_batch([pa.array(sorted(np.random.default_rng(1).integers(10**14, 10**15, 10_000).astype(str))), pa.array(np.ones(10_000, np.int64))], names=["word", "n"])
+    model = sentencepiece_lattice.Model([(str(k), -1.0 - k, k) for k in range(1000)], None, 0)
+    assert peak_mb(sentencepiece_lattice.Pieces(model).lattice(iter([words]))) < 15
+
+
+def test_no_stage_of_the_lattice_has_two_passes_in_python(spark, monkeypatch):
+    """Each pass has a worker for every core, and these stay for a while."""
+    plans = []
+
+    def noted(df, label, write=sentencepiece_lattice.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(sentencepiece_lattice, "materialize", noted)
+    model = sentencepiece_lattice.Model([("▁", -1.0, 3), ("a", -2.0, 4)], None, 0)
+    docs = spark.createDataFrame([(d, "a aa " * 3) for d in range(12)], "doc_id long, text string")
+    assert sentencepiece_lattice.round_trips(docs, model).filter("round_trip").count() == 12
+    assert max(plan.count("MapInArrow") for plan in plans) <= 1
