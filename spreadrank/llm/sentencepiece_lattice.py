@@ -2,6 +2,7 @@
 
 1. A text gets its leading space (``▁`` counts as a space) and is cut into words before each run of spaces and around new
    lines. No piece of the model lies across such a cut (checked when it is loaded), so each different word is encoded once.
+   Words are counted within runs of text by their 64-bit hashes, then summed up by Spark.
 2. Lattice: sorted words make a trie in each block of BLOCK words. For every node, the substrings that end there, up to the
    longest piece, are exploded, equi-joined to the piece table by hash and length, and grouped by node: these are
    edges (score, node where the piece starts, id), columns of Arrow batches, one row a block. A prefix that words share is joined once.
@@ -36,7 +37,7 @@ from spreadrank.llm.common import drop_tables, materialize, one_row_per_doc, rel
 from spreadrank.llm.word_table import hot_count
 
 SPACE = "▁"
-#: A word is a run of spaces with what follows, or a new line.
+#: A word is a run of spaces with what follows, or a new line (``_spans`` finds them).
 WORDS = r" *[^ \n]+| +|\n"
 #: Words in a trie; longer words than WIDE characters are blocks of their own.
 BLOCK, WIDE = 48, 64
@@ -46,6 +47,8 @@ HOT, HOT_BYTES = 1 << 19, 64
 PARTS = 2
 #: What a Python worker has at hand at once, so that it stays small: bytes of text, words of a lattice, words put together.
 RUN, TRIES, CHUNK = 1 << 18, 40 * BLOCK, 50_000
+#: Bytes of text in which words are counted before they are summed up.
+COUNTED = 1 << 19
 
 
 @dataclass
@@ -81,7 +84,20 @@ def escaped(text: Column) -> Column:
 
 def words_of(texts: DataFrame) -> DataFrame:
     """(word, n): the different words of escaped texts and their occurrences."""
-    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return texts.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each run of texts; words with the same hash are the same."""
+    for batch in batches:
+        for _, _, data, offsets in pieces(batch.column(0), COUNTED):
+            if len(data):
+                starts, ends = _spans(data, offsets)
+                _, at, n = np.unique(_hashes(data, starts, ends), return_index=True, return_counts=True)
+                sizes = (ends - starts)[at]
+                cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+                words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(cuts), pa.py_buffer(_gathered(data, starts[at], sizes)))
+                yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,20 +234,15 @@ def viterbi(nodes: Column) -> Column:
     return F.aggregate(nodes, first, step)
 
 
-def best_paths(words: DataFrame, model: Model) -> DataFrame:
-    """(words, n, last, origin, id) of blocks of a table (word, n) of different words: the best way into every node."""
-    blocks = words.select("word", "n").sortWithinPartitions("word").mapInArrow(Pieces(model).lattice, EDGES)
-    return blocks.select("words", "n", "last", viterbi(F.col("nodes")).alias("path")).select("words", "n", "last", "path.origin", "path.id")
-
-
-def ids_of(paths: DataFrame, model: Model) -> DataFrame:
-    """(key, bytes, n, ids) of each word of best_paths()."""
-    return paths.mapInArrow(Pieces(model).read_back, "key long, bytes int, n long, ids array<int>")
-
-
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """(key, bytes, n, ids) for a table (word, n) of different words."""
-    return ids_of(best_paths(words, model), model)
+    """(key, bytes, n, ids) for a table (word, n) of different words.
+
+    The best paths are dealt anew before they are read back: a stage with two passes in Python has twice as many workers.
+    """
+    table = Pieces(model)
+    blocks = words.select("word", "n").sortWithinPartitions("word").mapInArrow(table.lattice, EDGES)
+    best = blocks.select("words", "n", "last", viterbi(F.col("nodes")).alias("path")).select("words", "n", "last", "path.origin", "path.id")
+    return best.repartition(F.col("words")[0]).mapInArrow(table.read_back, "key long, bytes int, n long, ids array<int>")
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -395,10 +406,7 @@ def encode_texts(texts: DataFrame, model: Model, hot: int = HOT, text: bool = Fa
     """
     spark = texts.sparkSession
     others = texts.schema[1:]
-    paths = materialize(best_paths(words_of(texts), model), "paths")  # a stage with two passes in Python has twice as many workers, which stay
-    release(spark)
-    table = materialize(ids_of(paths, model), "word-ids")
-    drop_tables(paths)
+    table = materialize(encode_words(words_of(texts), model), "word-ids")
     release(spark)
     often = (F.col("n") >= hot_count(table, hot=hot)) & (F.col("bytes") <= HOT_BYTES)
     sent = spark.sparkContext.broadcast(Frequent(table.filter(often).select("key", "n", "ids").toArrow()))
