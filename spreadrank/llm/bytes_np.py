@@ -38,7 +38,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**i for i in 0..n, modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        out = np.full((1 << max(n, 1 << 16).bit_length()) + 1, U(base))
+        out = np.full((1 << (max(n, 1 << 16) - 1).bit_length()) + 1, U(base))
         out[0] = 1
         have = np.cumprod(out, dtype=np.uint64)
         if n <= 4 * PIECE:

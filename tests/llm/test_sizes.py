@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from spreadrank.llm import kneser_ney, sentencepiece_lattice
 
@@ -48,16 +49,36 @@ def test_a_worker_of_the_lattice_stays_small():
     assert peak_mb(sentencepiece_lattice.Pieces(model).lattice(iter([words]))) < 15
 
 
-def test_no_stage_of_the_lattice_has_two_passes_in_python(spark, monkeypatch):
-    """Each pass has a worker for every core, and these stay for a while."""
-    plans = []
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans that the SentencePiece operator writes."""
+    out = []
 
     def noted(df, label, write=sentencepiece_lattice.materialize):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out.append(df._jdf.queryExecution().executedPlan().toString())
         return write(df, label)
 
     monkeypatch.setattr(sentencepiece_lattice, "materialize", noted)
+    return out
+
+
+def passes(plans) -> int:
+    return max(stage.count("MapInArrow") for plan in plans for stage in plan.split("Exchange"))
+
+
+def test_no_stage_of_the_lattice_has_two_passes_in_python(spark, plans):
+    """Each pass has a worker for every core, and these stay for a while."""
     model = sentencepiece_lattice.Model([("▁", -1.0, 3), ("a", -2.0, 4)], None, 0)
     docs = spark.createDataFrame([(d, "a aa " * 3) for d in range(12)], "doc_id long, text string")
     assert sentencepiece_lattice.round_trips(docs, model).filter("round_trip").count() == 12
-    assert max(stage.count("MapInArrow") for plan in plans for stage in plan.split("Exchange")) == 1
+    assert passes(plans) == 1
+
+
+def test_no_stage_of_the_pipeline_encodes_with_two_passes_in_python(spark, plans):
+    """The workers of the stages before are there as well."""
+    pytest.importorskip("sentencepiece")
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(d, "a aa " * 3) for d in range(12)], "doc_id long, text string")
+    assert dict(corpus_pipeline.STAGES)["3 SentencePiece encoding"](spark, docs, "").filter("size(ids) > 0").count() == 12
+    assert passes(plans) == 1
