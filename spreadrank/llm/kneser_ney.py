@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.bytes_np import IS_SPACE, STEP, U, mix, pieces
+from spreadrank.llm.bytes_np import U, mix, pieces
 from spreadrank.llm.common import drop_tables, materialize, one_row_per_doc, release
 from spreadrank.llm.word_table import hot_count
 
@@ -39,7 +39,9 @@ HOT = 2_000_000
 #: Rows up to which a table of (id) or of (language, thresholds) is sent to every task; larger ones are joined by shuffle.
 SENT_ROWS = 100_000
 #: Bytes of text scored at once.
-RUN = 2 << 20
+RUN = 1 << 19
+#: Rows of n-grams that a task holds, to sum up the runs of text it counts.
+HELD = 1 << 20
 #: Characters of a stretch, and the part of held-out documents that each threshold keeps.
 WINDOW, QUANTILE = 8, 0.99
 
@@ -48,26 +50,34 @@ def streams(texts: pa.Array, order: int) -> Iterator[tuple[int, int, np.ndarray,
     """(first, last, characters, offsets) of runs of texts: start marks, then words with a space after each; empty without words."""
     for first, last, data, offsets in pieces(texts, RUN):
         chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
-        at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+        at = offsets if len(chars) == len(data) else offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)
         chars[(chars == 0) | (chars == START)] = 1
-        space = IS_SPACE[np.minimum(chars, 255)]
-        head = np.zeros(len(chars) + 1, bool)
-        head[at] = True
-        after_word = np.concatenate(([False], ~space[:-1])) & ~head[:-1] if len(chars) else space
-        keep = np.flatnonzero(~space | after_word)
-        owner = np.searchsorted(at, keep, "right") - 1
-        size = np.bincount(owner, minlength=last - first)
-        kept = np.where(space[keep], np.uint32(32), chars[keep])
-        ends = np.cumsum(size)
+        space = (chars == 32) | (chars - np.uint32(9) < 5)
+        chars[space] = 32
+        keep = ~space
+        keep[1:] |= keep[:-1]  # the first space after a word
+        heads = at[:-1][np.diff(at) > 0]
+        keep[heads] = ~space[heads]
+        kept = chars[keep]
+        ends = np.searchsorted(np.flatnonzero(keep), at)
+        size, ends = np.diff(ends), ends[1:]
         open_ = (size > 0) & (kept[np.maximum(ends - 1, 0)] != 32) if len(kept) else np.zeros(last - first, bool)
-        length = np.where(size > 0, size + open_ + order - 1, 0)
-        out = np.concatenate(([0], np.cumsum(length)))
+        out = np.concatenate(([0], np.cumsum(np.where(size > 0, size + open_ + order - 1, 0))))
+        own = scored_places(out, order)
+        own[out[1:][open_] - 1] = False
         stream = np.full(out[-1], START, np.uint32)
-        stream[(out[:-1] + order - 1 - ends + size)[owner] + np.arange(len(keep))] = kept
+        stream[own] = kept
         stream[out[1:][open_] - 1] = 32
         yield first, last, stream, out
 
 
+def scored_places(offsets: np.ndarray, order: int) -> np.ndarray:
+    """For each place of a run whether it is scored: not a start mark."""
+    out = np.ones(offsets[-1], bool)
+    out[(offsets[:-1][np.diff(offsets) > 0, None] + np.arange(order - 1)).ravel()] = False
+    return out
+
+
 def _language(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
@@ -78,37 +88,83 @@ def _seeds(langs: pa.Array) -> np.ndarray:
     return np.array([_language(x) for x in known.dictionary.to_pylist()], np.uint64)[known.indices.to_numpy()] if len(langs) else np.zeros(0, np.uint64)
 
 
-def gram_keys(stream: np.ndarray, last: np.ndarray, seeds: np.ndarray, order: int) -> np.ndarray:
-    """Hashes of the n-grams that end at the places ``last``, with their language."""
+def gram_keys(grams: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, given as an array for each of their characters, with their language; three characters of 21 bits at a time."""
     with np.errstate(over="ignore"):
-        hashed, total = mix((stream.astype(np.uint64) + U(1)) * STEP), seeds.copy()
-        for i in range(order):
-            total = (total + hashed[last - (order - 1 - i)]) * STEP
-            total ^= total >> U(29)
-        return mix(total)
+        total = seeds
+        for i in range(0, len(grams), 3):
+            packed = grams[i].astype(np.uint64)
+            for c in grams[i + 1 : i + 3]:
+                packed <<= U(21)
+                packed |= c
+            packed += total
+            total = mix(packed)
+        return total
+
+
+def _scored(stream: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, cuts): the characters that are scored with the hash of the n-gram that ends there; text i has cuts[i]:cuts[i + 1]."""
+    n = max(0, len(stream) - order + 1)
+    place = np.flatnonzero(scored_places(offsets, order))
+    keys = gram_keys([stream[i : i + n] for i in range(order)], np.repeat(seeds, np.diff(offsets))[:n])
+    return place, keys[place - (order - 1)], np.searchsorted(place, offsets)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): an order in which the same hashes are neighbours, and where their groups begin there.
+
+    Hashes are sorted with their places instead of their last bits, several times as fast as argsort. Where two hashes differ in
+    these bits alone, their groups may come in more than one part.
+    """
+    bits = U(len(keys).bit_length())
+    order = np.sort(keys >> bits << bits | np.arange(len(keys), dtype=np.uint64))
+    order = (order & ((U(1) << bits) - U(1))).astype(np.int64)
+    ordered = keys[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1])))
 
 
-def _scored(stream: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, texts) of the characters that are scored."""
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    place = np.flatnonzero(np.arange(len(stream)) - offsets[:-1][owner] >= order - 1)
-    return place, owner[place]
+def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(key, lang, gram, n, c) of several such tables, their counts summed up."""
+    key, lang, gram, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    order, heads = grouped(key)
+    at = order[heads]
+    return key[at], lang[at], gram[at], np.add.reduceat(n[order], heads), np.add.reduceat(c[order], heads)
 
 
-def counted(order: int):
-    """mapInArrow function: (text, lang, trains) to (lang, gram, n, c): n-grams with their occurrences, and those in training text."""
+def counted(order: int, limit: int = HELD):
+    """mapInArrow function: (text, lang, trains) to (lang, gram, n, c): n-grams with their occurrences, and those in training text.
+
+    Runs of text are summed up before they are returned, while there are no more than ``limit`` rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, langs = [], 0, {}
         for batch in batches:
-            trains, seeds = batch.column(2).to_numpy(zero_copy_only=False), _seeds(batch.column(1))
-            for first, _, stream, offsets in streams(batch.column(0), order):
-                place, owner = _scored(stream, offsets, order)
-                _, at, inverse, n = np.unique(gram_keys(stream, place, seeds[first:][owner], order), return_index=True, return_inverse=True, return_counts=True)
-                c = np.bincount(inverse, weights=trains[first:][owner], minlength=len(n)).astype(np.int64)
-                grams = stream[place[at][:, None] - np.arange(order - 1, -1, -1)].astype(np.uint32)
-                text = pa.array(np.ascontiguousarray(grams).view(f"<U{order}").ravel()) if len(at) else pa.array([], pa.string())
-                lang = batch.column(1).take(pa.array(first + owner[at]))
-                yield pa.RecordBatch.from_arrays([lang, text, pa.array(n.astype(np.int64)), pa.array(c)], names=["lang", "gram", "n", "c"])
+            trains, seeds, known = batch.column(2).to_numpy(zero_copy_only=False), _seeds(batch.column(1)), batch.column(1).dictionary_encode()
+            codes = np.array([langs.setdefault(x, len(langs)) for x in known.dictionary.to_pylist()], np.int32)[known.indices.to_numpy()] if len(seeds) else np.zeros(0, np.int32)
+            for first, last, stream, offsets in streams(batch.column(0), order):
+                place, keys, cuts = _scored(stream, offsets, seeds[first:last], order)
+                if not len(place):
+                    continue
+                by, heads = grouped(keys)
+                at, size = by[heads], np.diff(cuts)
+                c = np.add.reduceat(np.repeat(trains[first:last], size)[by].astype(np.int64), heads)
+                grams = np.stack([stream[place[at] - i] for i in range(order - 1, -1, -1)], 1)
+                held.append((keys[at], np.repeat(codes[first:last], size)[at], grams, np.diff(heads, append=len(by)), c))
+                rows += len(at)
+                if rows > limit:
+                    held = [_summed(held)]
+                    rows = len(held[0][0])
+                    if rows > limit // 2:
+                        yield table(held.pop(), langs)
+                        rows = 0
+        if held:
+            yield table(_summed(held), langs)
+
+    def table(summed: tuple[np.ndarray, ...], langs: dict[str, int]) -> pa.RecordBatch:
+        _, lang, grams, n, c = summed
+        text = pa.array(np.ascontiguousarray(grams).view(f"<U{order}").ravel())
+        return pa.RecordBatch.from_arrays([pa.array(list(langs), pa.string()).take(pa.array(lang)), text, pa.array(n), pa.array(c)], names=["lang", "gram", "n", "c"])
 
     return run
 
@@ -118,8 +174,8 @@ def keyed(order: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stream = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32)
-            keys = gram_keys(stream, np.arange(order - 1, len(stream), order), _seeds(batch.column(0)), order)
+            grams = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, order)
+            keys = gram_keys(list(grams.T), _seeds(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2), batch.column(3)], names=["key", "n", "lp"])
 
     return run
@@ -177,18 +233,31 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Scores:
-    """Scores sent to every task, by sorted key."""
+    """Scores sent to every task, by sorted key; ``heads``: where the keys with the same first bits begin."""
 
     def __init__(self, keys: np.ndarray, lp: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.lp = keys[order], lp[order]
+        self.keys, self.lp = np.append(keys[order], ~U(0)), np.append(lp[order], np.nan)
+        bits = len(keys).bit_length() + 1
+        self.shift = U(64 - bits)
+        self.heads = np.searchsorted(self.keys[:-1] >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """ln p of each key, NaN where there is none."""
-        if not len(self.keys):
-            return np.full(len(keys), np.nan)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.lp[at], np.nan)
+        at = self.heads[(keys >> self.shift).view(np.int64)]
+        found = self.keys[at]
+        out = self.lp[at]
+        live = np.flatnonzero(found != keys)
+        at, found = at[live], found[live]
+        while len(live):
+            out[live] = np.nan
+            more = found < keys[live]
+            live, at = live[more], at[more] + 1
+            found = self.keys[at]
+            same = found == keys[live]
+            out[live[same]] = self.lp[at[same]]
+            live, at, found = live[~same], at[~same], found[~same]
+        return out
 
 
 def worst_mean(x: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
@@ -215,24 +284,25 @@ def scored(sent, order: int, window: int):
         for batch in batches:
             seeds, extra = _seeds(batch.column(1)), batch.column(2)
             for first, last, stream, offsets in streams(batch.column(0), order):
-                place, owner = _scored(stream, offsets, order)
-                keys, inverse = np.unique(gram_keys(stream, place, seeds[first:][owner], order), return_inverse=True)
+                _, keys, cuts = _scored(stream, offsets, seeds[first:last], order)
                 lp = sent.value.find(keys)
                 more = extra.slice(first, last - first).flatten()
-                if len(more):
-                    own = Scores(more.field("key").to_numpy().view(np.uint64), more.field("lp").to_numpy())
-                    lp = np.where(np.isnan(lp), own.find(keys), lp)
-                x = -lp[inverse]
-                cuts = np.searchsorted(owner, np.arange(last - first + 1))
-                none = np.isnan(x)
-                open_ = np.unique(owner[none])
-                whole = np.ones(last - first, bool)
-                whole[open_] = False
-                lost = [np.unique(keys[inverse[a:z][none[a:z]]]).view(np.int64) for a, z in zip(cuts[open_], cuts[open_ + 1], strict=True)]
-                sizes = np.zeros(last - first, np.int64)
-                sizes[open_] = [len(k) for k in lost]
-                missing = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(np.concatenate(lost) if lost else np.zeros(0, np.int64)))
-                x, size = np.where(none, 0.0, x), np.diff(cuts)
+                none = np.flatnonzero(np.isnan(lp))
+                if len(more) and len(none):
+                    lp[none] = Scores(more.field("key").to_numpy().view(np.uint64), more.field("lp").to_numpy()).find(keys[none])
+                    none = none[np.isnan(lp[none])]
+                x = -lp
+                owner = np.searchsorted(cuts, none, "right") - 1
+                by, heads = grouped(keys[none])
+                new = np.ones(len(by), bool)
+                new[1:] = owner[by][1:] != owner[by][:-1]
+                new[heads] = True
+                once = np.sort(by[new])  # each text's missing n-grams, in the order of texts
+                sizes = np.bincount(owner[once], minlength=last - first)
+                whole = sizes == 0
+                missing = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(keys[none[once]].view(np.int64)))
+                x[none] = 0.0
+                size = np.diff(cuts)
                 means = worst_mean(x, cuts, max(len(x), 1) + 1)
                 value = lambda v: pa.array(v, mask=~whole | (size == 0))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column(3).slice(first, last - first), pa.array(size.astype(np.int64)), value(means), value(worst_mean(x, cuts, window)), missing], names=["doc_id", "n_scored", "log_ppl", "worst", "missing"])
