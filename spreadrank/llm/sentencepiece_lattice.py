@@ -2,7 +2,7 @@
 
 1. A text gets its leading space (``▁`` counts as a space) and is cut into words before each run of spaces and around new
    lines. No piece of the model lies across such a cut (checked when it is loaded), so each different word is encoded once.
-   Words are counted within runs of text by their 64-bit hashes, then summed up by Spark.
+   Words are counted by their 64-bit hashes and summed up within tasks, then by Spark.
 2. Lattice: sorted words make a trie in each block of BLOCK words. For every node, the substrings that end there, up to the
    longest piece, are exploded, equi-joined to the piece table by hash and length, and grouped by node: these are
    edges (score, node where the piece starts, id), columns of Arrow batches, one row a block. A prefix that words share is joined once.
@@ -32,23 +32,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.bytes_np import BASE, BYTE, STEP, U, mix, pieces, powers, texts
+from spreadrank.llm.bytes_np import BASE, BYTE, STEP, U, grouped, mix, pieces, powers, texts
 from spreadrank.llm.common import drop_tables, materialize, one_row_per_doc, release
 from spreadrank.llm.word_table import hot_count
 
 SPACE = "▁"
 #: A word is a run of spaces with what follows, or a new line (``_spans`` finds them).
 WORDS = r" *[^ \n]+| +|\n"
-#: Words in a trie; longer words than WIDE characters are blocks of their own.
-BLOCK, WIDE = 48, 64
+#: Words in a trie (the fold copies its state for each node, so that tries are small); longer words than WIDE characters are blocks of their own.
+BLOCK, WIDE = 16, 64
 #: The most words that are sent to every task, of HOT_BYTES each at most.
 HOT, HOT_BYTES = 1 << 19, 64
 #: Parts of the documents whose seldom words are looked up one after the other, so that a part of their shuffles is on disk at a time.
 PARTS = 2
 #: What a Python worker has at hand at once, so that it stays small: bytes of text, words of a lattice, words put together.
-RUN, TRIES, CHUNK = 1 << 18, 40 * BLOCK, 50_000
-#: Bytes of text in which words are counted before they are summed up.
-COUNTED = 1 << 19
+RUN, TRIES, CHUNK = 1 << 18, 120 * BLOCK, 50_000
+#: Bytes of text in which words are counted before they are summed up, and the most words that a task holds for that.
+COUNTED, HELD = 1 << 19, 1 << 19
 
 
 @dataclass
@@ -83,21 +83,52 @@ def escaped(text: Column) -> Column:
 
 
 def words_of(texts: DataFrame) -> DataFrame:
-    """(word, n): the different words of escaped texts and their occurrences."""
-    return texts.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n): the different words of escaped texts and their occurrences.
+
+    Tasks have summed their words up, so they are dealt before Spark's aggregate, which would find next to nothing to sum up before.
+    """
+    return texts.select("text").mapInArrow(_counted, "word string, n long").repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of each run of texts; words with the same hash are the same."""
+def _counted(batches: Iterator[pa.RecordBatch], limit: int = HELD) -> Iterator[pa.RecordBatch]:
+    """(word, n) of runs of texts, summed up while there are no more than ``limit`` rows; words with the same hash are the same."""
+    held, rows = [], 0
     for batch in batches:
         for _, _, data, offsets in pieces(batch.column(0), COUNTED):
-            if len(data):
-                starts, ends = _spans(data, offsets)
-                _, at, n = np.unique(_hashes(data, starts, ends), return_index=True, return_counts=True)
-                sizes = (ends - starts)[at]
-                cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-                words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(cuts), pa.py_buffer(_gathered(data, starts[at], sizes)))
-                yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
+            if not len(data):
+                continue
+            starts, ends = _spans(data, offsets)
+            hashes = _hashes(data, starts, ends)
+            order, heads = grouped(hashes)
+            at = order[heads]
+            held.append((hashes[at], np.diff(heads, append=len(order)), _words(data, starts[at], (ends - starts)[at])))
+            rows += len(at)
+            if rows > limit:
+                held = [_summed(held)]
+                rows = len(held[0][0])
+                if rows > limit // 2:
+                    yield _table(held.pop())
+                    rows = 0
+    if held:
+        yield _table(_summed(held))
+
+
+def _words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    cuts = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(_gathered(data, starts, sizes))])
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(hash, n, word) of several such tables, their counts summed up."""
+    hashes, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    order, heads = grouped(hashes)
+    at = order[heads]
+    return hashes[at], np.add.reduceat(n[order], heads), pa.concat_arrays([w for *_, w in held]).take(pa.array(at))
+
+
+def _table(summed: tuple[np.ndarray, np.ndarray, pa.Array]) -> pa.RecordBatch:
+    _, n, words = summed
+    return pa.RecordBatch.from_arrays([words.cast(pa.binary()).cast(pa.string()), pa.array(n)], names=["word", "n"])
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
