@@ -34,7 +34,7 @@ from spreadrank.llm.word_table import hot_count
 START = 2
 #: One trusted document in so many sets the thresholds.
 HELD_OUT = 5
-#: The most n-grams that are sent to every task, 16 bytes each.
+#: The most n-grams that are sent to every task, 16 bytes each and 8 to 16 for the places of their first bits.
 HOT = 2_000_000
 #: Rows up to which a table of (id) or of (language, thresholds) is sent to every task; larger ones are joined by shuffle.
 SENT_ROWS = 100_000
