@@ -11,6 +11,8 @@ Rules that hold for every operator of this subpackage, unless its docstring says
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -81,6 +83,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    spare(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -105,6 +108,36 @@ def release(spark: SparkSession) -> None:
     spark.sql("select 1").collect()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def spare(spark: SparkSession, share: float = 0.6) -> None:
+    """Collect the driver's garbage if its heap has grown to this share of the most it may have.
+
+    Many small steps, one after the other, fill the heap up to its bound with what nobody needs; a full collection gives pages back.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > share * runtime.maxMemory():
+        spark.sparkContext._jvm.System.gc()
+
+
+def trim(spark: SparkSession) -> None:
+    """Give freed memory outside of the heap back to the system, in both processes of the driver.
+
+    Hundreds of short-lived threads plan and compile queries; the C library keeps what each of them has freed. JVMs and systems that
+    can't do this go on as they are.
+    """
+    with contextlib.suppress(Exception):
+        ctypes.CDLL(None).malloc_trim(0)
+    with contextlib.suppress(Exception):
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        kind = lambda name: jvm.java.lang.Class.forName(name)
+        types, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = kind(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kind("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, values)
 
 
 def one_row_per_doc(docs: DataFrame, key: str = "doc_id", columns: list[str] | None = None) -> DataFrame:

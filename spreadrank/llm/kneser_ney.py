@@ -322,6 +322,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = 5, window: in
         extra = asked.join(scores.filter(~often).select("key", "lp"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lp")).alias("extra"))
         done = done.unionByName(docs.join(extra, "doc_id").select("text", "lang", "extra", "doc_id").mapInArrow(scored(sent, order, window), schema))
     out = materialize(done.drop("missing"), "perplexities")
+    sent.destroy()
     drop_tables(scores, first)
     release(spark)
     marked = docs.select("doc_id", "lang").join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))

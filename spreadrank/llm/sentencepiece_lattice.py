@@ -437,6 +437,7 @@ def encode_texts(texts: DataFrame, model: Model, hot: int = HOT, text: bool = Fa
     """
     spark = texts.sparkSession
     others = texts.schema[1:]
+    release(spark)  # what the operators before have left on the driver
     table = materialize(encode_words(words_of(texts), model), "word-ids")
     release(spark)
     often = (F.col("n") >= hot_count(table, hot=hot)) & (F.col("bytes") <= HOT_BYTES)
