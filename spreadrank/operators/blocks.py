@@ -25,6 +25,9 @@ EDGES = 1 << 21
 #: Most (source, vertex) or (source, arc) cells of a block.
 CELLS = 1 << 21
 
+#: Sources whose rows are written together, vertex by vertex, and the most cells that they have at hand for that.
+TOGETHER, HELD = 64, 1 << 23
+
 
 @dataclass
 class Compact:
@@ -50,6 +53,11 @@ class Compact:
         """Sources of a block."""
         return max(1, CELLS // max(len(self.ids) + len(self.to), 1))
 
+    @property
+    def group(self) -> int:
+        """Sources whose rows are written together."""
+        return max(1, min(TOGETHER, HELD // max(len(self.ids), 1)))
+
     def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of ids, and which of them are vertices."""
         if not len(self.ids):
@@ -245,10 +253,10 @@ def dependency_sums(spark: SparkSession, g: Compact, sources: np.ndarray, weight
     return rows.groupBy("v").agg(F.sum("t").alias("t"), *([F.sum("plain").alias("plain")] if plain else []))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], g: Compact) -> Iterator[list[np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
     for batch in batches:
-        for k in range(0, batch.num_rows, g.block):
-            yield [c.to_numpy(zero_copy_only=False) for c in batch.slice(k, g.block).columns]
+        for k in range(0, batch.num_rows, size):
+            yield [c.to_numpy(zero_copy_only=False) for c in batch.slice(k, size).columns]
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -256,28 +264,43 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(2 * max(1, spark.sparkContext.defaultParallelism))
 
 
-def paths_from(g: Compact, sources: DataFrame) -> DataFrame:
-    """(s, v, d, sigma) of all vertices that each source (s) reaches, itself included."""
+def paths_from(g: Compact, sources: DataFrame, cells: int = 1 << 18) -> DataFrame:
+    """(s, v, d, sigma) of all vertices that each source (s) reaches, itself included.
+
+    The rows of a group of sources come vertex by vertex, in batches of about ``cells`` rows: v is then a run and s a pattern that comes again
+    and again, which column stores keep in next to nothing. Source by source, v would never repeat within a store's reach.
+    """
     sent = sources.sparkSession.sparkContext.broadcast(g)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = sent.value
         n = len(g.ids)
-        for (s,) in _blocks(batches, g):
+        for (s,) in _blocks(batches, g.group):
             at, known = g.places(s)
             alone = s[~known]
-            cells, dist, sigma = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
-            if known.any():
-                found = Search(g, at[known])
-                cells = np.sort(np.concatenate(found.levels))  # by source and vertex: written as runs
-                dist, sigma = found.dist[cells], found.sigma[cells]
-            rows = [s[known][cells // n] if len(cells) else alone[:0], g.ids[cells % n] if len(cells) else alone[:0], dist, sigma]
-            lone = [alone, alone, np.zeros(len(alone), np.int32), np.ones(len(alone))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(rows, lone, strict=True)], names=["s", "v", "d", "sigma"])
+            if len(alone):
+                yield _path_rows(alone, alone, np.zeros(len(alone), np.int32), np.ones(len(alone)))
+            s, at = s[known], at[known]
+            if not len(s):
+                continue
+            dist, sigma = np.empty((len(s), n), np.int32), np.empty((len(s), n))
+            for k in range(0, len(s), g.block):
+                found = Search(g, at[k : k + g.block])
+                dist[k : k + g.block], sigma[k : k + g.block] = found.dist.reshape(-1, n), found.sigma.reshape(-1, n)
+            step = max(1, cells // len(s))
+            for k in range(0, n, step):
+                d = dist[:, k : k + step].T
+                v, row = np.nonzero(d >= 0)
+                if len(v):
+                    yield _path_rows(s[row], g.ids[k + v], d[v, row], sigma[row, k + v])
 
     return _dealt(sources.select(F.col("s").cast("long").alias("s")).filter("s is not null")).mapInArrow(work, "s bigint, v bigint, d int, sigma double")
 
 
+def _path_rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "v", "d", "sigma"])
+
+
 def _pairs(g: Compact, samples: DataFrame, extra: list, schema: str, rows: Callable[[Search, list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(sample, v, value) of the cells that ``rows`` gives for searches of samples (sample, s, z), ended at z; s and z differ."""
     sent = samples.sparkSession.sparkContext.broadcast(g)
@@ -285,7 +308,7 @@ def _pairs(g: Compact, samples: DataFrame, extra: list, schema: str, rows: Calla
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = sent.value
         n = len(g.ids)
-        for block in _blocks(batches, g):
+        for block in _blocks(batches, g.block):
             (s, s_in), (z, z_in) = g.places(block[1]), g.places(block[2])
             both = s_in & z_in
             if not both.any():
